@@ -1,3 +1,10 @@
 """quiresmith: a Spark-first engine for corpora of packaged e-book archives."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run on executors travel with their code, so a cluster needs no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
