@@ -249,6 +249,8 @@ SPANS = T.ArrayType(
     T.StructType([T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("lang", T.StringType())])
 )
 
+RESULT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
+
 
 def _labeller(model: Model) -> Callable:
     return lambda: model.label
@@ -266,8 +268,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     and no span. Repeated rows and rows with a null id are labelled like any others; other columns
     are ignored, whatever their names. An empty table gives an empty result.
     """
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
-    return map_texts(docs, [F.col(id_col).alias("doc_id")], F.col(text_col), _labeller(model), fields)
+    return map_texts(docs, [F.col(id_col).alias("doc_id")], F.col(text_col), _labeller(model), RESULT)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -14,9 +14,11 @@ from quiresmith.llm.common import Shelf, hash01, map_texts, sample_rows
 
 #: Labelled documents that the classifier is fitted on at most (a random sample, whole texts).
 MAX_TRAIN_DOCS = 20_000
-MAX_ROUNDS = 60
+MAX_ROUNDS = 30
+#: Rate of a document at most: repeating one more often than this teaches little.
+MAX_RATE = 4.0
 #: Largest difference of an expected share from its target at which the descent stops.
-TOLERANCE = 1e-6
+TOLERANCE = 5e-4
 _BITS = 15
 _BUCKETS = 1 << _BITS
 _PIECE = 1_000_000
@@ -211,37 +213,45 @@ class Rates:
     """Document rates as a function of the posterior alone: the descent's steps, replayed.
 
     Every document starts at rate 1. Step s subtracts the inner product of its posterior with
-    ``steps[s]`` and projects onto rates of 0 and more.
+    ``steps[s]`` from the point that momentum leads to, and projects onto [0, most].
     """
 
     domains: list[str]
+    most: float = MAX_RATE
     steps: list[np.ndarray] = field(default_factory=list)
     shares: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def of(self, p: np.ndarray) -> np.ndarray:
-        r = np.ones(len(p))
-        for s in self.steps:
-            r = np.maximum(0.0, r - p @ s)
-        return r
-
-
-def fit_rates(table: DataFrame, domains: Sequence[str], targets: Mapping[str, float], rounds: int = MAX_ROUNDS) -> Rates:
-    """Nonnegative rates whose expected token shares per domain come as near to ``targets`` as can be.
-
-    Minimises (E(r)/B - w)' A^-1 (E(r)/B - w) over r >= 0, where E(r) sums rate * tokens * posterior
-    over all documents, B is the token total, w the targets and A the token-weighted second moment
-    of the posteriors (plus a small ridge). In the token-weighted metric the gradient of a document
-    is its posterior times A^-1 (E/B - w), with Lipschitz constant 1, so steps of 1 descend. Each
-    round is one pass over (tokens, posterior) that returns one short row of sums.
+    def of(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
+        """The rates, or with ``ahead`` the point at which the next gradient is taken."""
+        r = y = np.ones(len(p))
+        for t, s in enumerate(self.steps):
+            new = np.clip(y - p @ s, 0.0, self.most)
+            y = new + t / (t + 3) * (new - r)
+            r = new
+        return y if ahead else r
+
+
+def fit_rates(
+    table: DataFrame, domains: Sequence[str], targets: Mapping[str, float], rounds: int = MAX_ROUNDS, most: float = MAX_RATE
+) -> Rates:
+    """Rates in [0, most] whose expected token shares per domain come as near to ``targets`` as can be.
+
+    Minimises (E(r)/B - w)' A^-1 (E(r)/B - w), where E(r) sums rate * tokens * posterior over all
+    documents, B is the token total, w the targets and A the token-weighted second moment of the
+    posteriors (plus a small ridge). In the token-weighted metric the gradient of a document is its
+    posterior times A^-1 (E/B - w), with Lipschitz constant 1, so projected steps of 1 with momentum
+    descend. Each round is one pass over (tokens, posterior) that returns one short row of sums.
     """
-    rates = Rates(list(domains))
+    rates = Rates(list(domains), most)
     k = len(rates.domains)
     w = np.array([float(targets.get(d, 0.0)) for d in rates.domains])
     if not k or w.sum() <= 0:
         return rates
     w /= w.sum()
 
-    def sums(rule: Rates) -> tuple[float, np.ndarray, np.ndarray]:
+    def sums(ahead: bool) -> tuple[float, np.ndarray, np.ndarray]:
+        moments = not rates.steps
+
         def run(batches):
             import pyarrow as pa
 
@@ -250,29 +260,27 @@ def fit_rates(table: DataFrame, domains: Sequence[str], targets: Mapping[str, fl
                 t = b.column(0).to_numpy(zero_copy_only=False).astype(float)
                 p = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
                 total += t.sum()
-                e += (t * rule.of(p)) @ p
-                if not rule.steps:
+                e += (t * rates.of(p, ahead)) @ p
+                if moments:
                     a += (p * t[:, None]).T @ p
-            names = ["x"]
-            yield pa.RecordBatch.from_arrays([pa.array([[total, *e, *a.ravel()]], pa.list_(pa.float64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([[total, *e, *a.ravel()]], pa.list_(pa.float64()))], names=["x"])
 
         cols = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(1 + k + k * k)]
         row = table.select("tokens", "posterior").mapInArrow(run, "x array<double>").agg(*cols).first()
         got = np.array([x or 0.0 for x in row])
         return got[0], got[1 : 1 + k], got[1 + k :].reshape(k, k)
 
-    total, e, a = sums(rates)
+    total, e, a = sums(ahead=True)
     if not total:
         return rates
     inverse = np.linalg.inv(a / total + 1e-9 * np.eye(k))
     for _ in range(rounds):
-        rates.shares = e / total
-        gap = rates.shares - w
+        gap = e / total - w
         if np.abs(gap).max() < TOLERANCE:
             break
         rates.steps.append(inverse @ gap)
-        _, e, _ = sums(rates)
-    rates.shares = e / total
+        e = sums(ahead=True)[1]
+    rates.shares = sums(ahead=False)[1] / total
     return rates
 
 
@@ -282,15 +290,15 @@ def rate_column(posterior: Column, rates: Rates) -> Column:
 
     k = len(rates.domains)
 
-    @F.pandas_udf("double")
-    def rate(p: pd.Series) -> pd.Series:
+    def rate(p):
         return pd.Series(rates.of(np.array(p.tolist(), float).reshape(len(p), k)))
 
-    return rate(posterior)
+    rate.__annotations__ = {"p": pd.Series, "return": pd.Series}
+    return F.pandas_udf(rate, "double")(posterior)
 
 
 #: Target token shares of the label domains.
-TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
+TARGETS = {"clean": 0.87, "low": 0.04, "toxic": 0.09}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -309,7 +317,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
 
     ``labelled`` (doc_id, domain) names domains of some documents; the classifier fitted on them
     gives every document a posterior over the domains; rates make the expected token totals of the
-    domains match ``targets`` (shares; they are scaled to sum to 1, domains without one get 0).
+    domains match ``targets`` (shares; they are scaled to sum to 1, domains without one get 0), as far
+    as rates of MAX_RATE at most can.
 
     A null text has no words, the prior as posterior and thus a rate like any other. Without usable
     labels there is no domain: posteriors are empty and rates 1. Repeated rows get equal rates and

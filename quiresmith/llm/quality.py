@@ -64,6 +64,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_stops", "n_upper", "n_digits")
+FIELDS = [T.StructField(n, T.LongType()) for n in NAMES]
 #: What rules test: each is a statistic or a share, as (name, numerator, denominator or None).
 MEASURES = (
     ("words", "n_words", None),
@@ -79,7 +80,7 @@ MEASURES = (
 )
 
 
-def _measurer() -> Callable:
+def measurer() -> Callable:
     def run(texts):
         return dict(zip(NAMES, map(list, zip(*map(statistics, texts), strict=True)), strict=True))
 
@@ -88,7 +89,7 @@ def _measurer() -> Callable:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, the statistics of each whole text, each long). Null texts count as empty."""
-    return map_texts(docs, [F.col(id_col).alias("doc_id")], F.col(text_col), _measurer, [T.StructField(n, T.LongType()) for n in NAMES])
+    return map_texts(docs, [F.col(id_col).alias("doc_id")], F.col(text_col), measurer, FIELDS)
 
 
 def measure_column(name: str) -> Column:
