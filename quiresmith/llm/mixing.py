@@ -19,6 +19,9 @@ MAX_ROUNDS = 30
 MAX_RATE = 4.0
 #: Largest difference of an expected share from its target at which the descent stops.
 TOLERANCE = 5e-4
+#: Added to the posteriors' second moments, so that a domain that hardly any document belongs to is
+#: missed rather than chased by rates far from 1.
+RIDGE = 1e-3
 _BITS = 15
 _BUCKETS = 1 << _BITS
 _PIECE = 1_000_000
@@ -273,11 +276,13 @@ def fit_rates(
     total, e, a = sums(ahead=True)
     if not total:
         return rates
-    inverse = np.linalg.inv(a / total + 1e-9 * np.eye(k))
+    inverse = np.linalg.inv(a / total + RIDGE * np.eye(k))
+    last = np.full(k, np.inf)
     for _ in range(rounds):
         gap = e / total - w
-        if np.abs(gap).max() < TOLERANCE:
+        if np.abs(gap).max() < TOLERANCE or np.abs(gap - last).max() < TOLERANCE / 10:
             break
+        last = gap
         rates.steps.append(inverse @ gap)
         e = sums(ahead=True)[1]
     rates.shares = sums(ahead=False)[1] / total
