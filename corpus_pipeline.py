@@ -18,8 +18,8 @@ from quiresmith.llm.tokens import public_path
 
 #: Share of a document's letters that its language must have; below, it is a mixture of languages.
 MIN_LANGUAGE_SHARE = 0.5
-#: Target token shares of the label domains, after the quality rules have taken most of the low one.
-MIX = {"clean": 0.90, "low": 0.01, "toxic": 0.09}
+#: Target token shares of the label domains; the quality rules have taken the low one.
+MIX = {"clean": 0.90, "toxic": 0.10}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
