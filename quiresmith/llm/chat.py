@@ -17,9 +17,9 @@ from quiresmith.llm.common import Shelf
 # The template. A turn is HEAD role AFTER text END; whatever of these stands in a role or text is
 # broken up by a backslash, and so is a backslash.
 HEAD, AFTER, END = "### ", ": ", " </turn>\n"
-_CONTROL = re.compile(r"\\|###|</turn>|[: ]")
-_ESCAPED = {"\\": "\\\\", "###": "#\\##", "</turn>": "<\\/turn>", ":": "\\:", " ": "\\ "}
-_TEXT_CONTROL = re.compile(r"\\|###|</turn>")
+_CONTROL = re.compile(r"[\\#: ]|</turn>")
+_ESCAPED = {"\\": "\\\\", "#": "\\#", "</turn>": "<\\/turn>", ":": "\\:", " ": "\\ "}
+_TEXT_CONTROL = re.compile(r"[\\#]|</turn>")
 
 
 def escape(text: str, role: bool = False) -> str:
