@@ -116,7 +116,7 @@ class Classifier:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
+    x = np.exp(x - x.max(axis=1, keepdims=True, initial=-1e300))
     return x / x.sum(axis=1, keepdims=True)
 
 
