@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The suffix that each task gives its output.
+# The suffix that each task gives its output, and text conversion by its direction.
 OUTPUT_SUFFIX = {
-    "reformat_epub": "_reformat", "decrypt_epub": "_decrypt", "encrypt_epub": "_encrypt", "encrypt_font": "_font_encrypt",
-    "decrypt_font": "_font_decrypt", "webp_to_img": "_webp_to_img", "image_compress": "_compress",
-    "image_to_webp": "_to_webp", "replace_cover": "_cover",
+    "reformat_epub": "_reformat_epub", "decrypt_epub": "_decrypt_epub", "encrypt_epub": "_encrypt_epub", "encrypt_font": "_encrypt_font",
+    "decrypt_font": "_decrypt_font", "webp_to_img": "_webp_to_img", "image_compress": "_image_compress",
+    "image_to_webp": "_image_to_webp", "replace_cover": "_replace_cover",
 }
+CONVERTED_SUFFIX = {"s2t": "_chinese_convert_tc", "t2s": "_chinese_convert_sc"}
 SLIM = r"(?i)[~_-]?slim$"
 
 
@@ -52,4 +53,4 @@ def output_suffix(task: Column, direction: Column | None = None) -> Column:
     plain = F.try_element_at(table, task)
     if direction is None:
         return plain
-    return F.when(task == "chinese_convert", F.when(direction == "s2t", "_s2t").when(direction == "t2s", "_t2s")).otherwise(plain)
+    return F.when(task == "chinese_convert", F.when(direction == "s2t", CONVERTED_SUFFIX["s2t"]).when(direction == "t2s", CONVERTED_SUFFIX["t2s"])).otherwise(plain)

@@ -63,14 +63,14 @@ def slim_pairing(spark, sf_dir):
 @register(
     "output_name",
     """SELECT p_partkey, task, CASE WHEN done THEN NULL ELSE 'out/' || stem || suffix || '.epub' END AS output_path, done FROM (
-       SELECT p_partkey, t.task, t.suffix, lower(p_name) || CASE WHEN p_size % 3 = 0 THEN '_Encrypt' ELSE '' END AS stem,
-              p_size % 3 = 0 AND t.suffix = '_encrypt' AS done
-       FROM part, (VALUES ('encrypt_epub', '_encrypt'), ('image_compress', '_compress')) AS t(task, suffix))""",
+       SELECT p_partkey, t.task, t.suffix, lower(p_name) || CASE WHEN p_size % 3 = 0 THEN '_Encrypt_Epub' ELSE '' END AS stem,
+              p_size % 3 = 0 AND t.suffix = '_encrypt_epub' AS done
+       FROM part, (VALUES ('encrypt_epub', '_encrypt_epub'), ('image_compress', '_image_compress')) AS t(task, suffix))""",
 )
 def output_name(spark, sf_dir):
     """Output path by the stem rule; inputs that already carry the task's suffix are done."""
     tasks = F.explode(F.array(F.lit("encrypt_epub"), F.lit("image_compress")))
-    file = F.concat(F.lower("p_name"), F.when(F.col("p_size") % 3 == 0, "_Encrypt").otherwise(""), F.lit(".EPUB"))
+    file = F.concat(F.lower("p_name"), F.when(F.col("p_size") % 3 == 0, "_Encrypt_Epub").otherwise(""), F.lit(".EPUB"))
     rows = table(spark, sf_dir, "part").select("p_partkey", file.alias("file"), tasks.alias("task")).withColumn("suffix", naming.output_suffix(F.col("task")))
     done = F.lower(naming.stem(F.col("file"))).endswith(F.col("suffix"))
     path = F.when(~done, F.concat(F.lit("out/"), naming.stem(F.col("file")), "suffix", F.lit(".epub")))
