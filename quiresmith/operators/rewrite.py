@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quiresmith.functions import naming, package, references, text
 from quiresmith.functions.paths import MEDIA_TYPE, UNSAFE_NAME, media_resource_type, resolve
 from quiresmith.operators import manifest as op
+from quiresmith.shelf import Shelf
 from quiresmith.sources import epub
 
 # Where each type of resource goes.
@@ -140,25 +141,29 @@ _ISSUES = "struct<content:binary,issues:array<struct<href:string,status:string>>
 
 def run(members: DataFrame, policy: Policy) -> dict[str, DataFrame]:
     """Tables of a rewrite: ``members`` (book_id, ord, path, content), ``link_issues``, ``opf_issues``, ``skipped``."""
+    shelf = Shelf(members.sparkSession, policy.name)
     good = members.where("error IS NULL")
-    packages = epub.packages(good)
-    planned = plan(packages, good, policy)
+    # one pass over the archives gives the listing and the package documents; the rest is small
+    is_package = (F.col("ext") == "opf") | (F.lower("path") == "meta-inf/container.xml")
+    index = shelf.put(good.select("book_id", "ord", "path", "ext", F.when(is_package, F.col("content")).alias("content")))
+    packages = shelf.put(epub.packages(index))
+    planned = shelf.put(plan(packages, index, policy))
     state = obfuscated(planned)
     skip = state.where(F.col("encrypted") == policy.skip_when) if policy.skip_when is not None else state.where(F.lit(False))
+    skip = shelf.put(skip)
     todo = packages.join(skip.select("book_id"), "book_id", "left_anti")
     planned = planned.join(skip.select("book_id"), "book_id", "left_anti")
     entry = F.struct(F.lower("book_path").alias("low"), F.concat("book_path", F.lit("\n"), "target").alias("to"))
     maps = planned.groupBy("book_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(entry))).alias("paths"))
     content = good.select("book_id", F.col("path").alias("book_path"), "ord", "content")
-    files = planned.select("book_id", "book_path", "resource_type", "target").join(content, ["book_id", "book_path"])
-    textual = files.where(F.col("resource_type").isin("text", "css", "toc") | F.lower("book_path").endswith(".svg")).join(maps, "book_id")
+    files = planned.select("book_id", "book_path", "resource_type", "target").join(content, ["book_id", "book_path"]).join(maps, "book_id")
+    textual = F.col("resource_type").isin("text", "css", "toc") | F.lower("book_path").endswith(".svg")
 
     def rewrite(data, kind, source, target, paths):
         new, issues = rewrite_member(bytes(data), kind, source, target, paths)
         return {"content": new, "issues": issues}
 
-    done = textual.withColumn("x", F.udf(rewrite, _ISSUES)("content", "resource_type", "book_path", "target", "paths"))
-    plain = files.where(~(F.col("resource_type").isin("text", "css", "toc") | F.lower("book_path").endswith(".svg")))
+    done = files.withColumn("x", F.when(textual, F.udf(rewrite, _ISSUES)("content", "resource_type", "book_path", "target", "paths")))
     item = F.struct("pos", "new_id", "target", "media_type", "properties", "id")
     listed = planned.groupBy("book_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
@@ -176,9 +181,7 @@ def run(members: DataFrame, policy: Policy) -> dict[str, DataFrame]:
     container = '<?xml version="1.0" encoding="UTF-8"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container">\n  <rootfiles>\n    <rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/>\n  </rootfiles>\n</container>\n'
     fixed = [(0, "mimetype", epub.MIMETYPE.decode()), (1, "META-INF/container.xml", container)]
     boot = todo.select("book_id", F.explode(F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(p).alias("path"), F.lit(c).cast("binary").alias("content")) for o, p, c in fixed))).alias("x")).select("book_id", "x.*")
-    body = done.select("book_id", (F.col("ord") + 10).alias("ord"), F.col("target").alias("path"), "x.content").unionByName(
-        plain.select("book_id", (F.col("ord") + 10).alias("ord"), F.col("target").alias("path"), "content")
-    )
+    body = done.select("book_id", (F.col("ord") + 10).alias("ord"), F.col("target").alias("path"), F.coalesce("x.content", "content").alias("content"))
     spine = epub.spine(todo).select("book_id", "idref")
     return {
         "members": boot.unionByName(opf).unionByName(body),
