@@ -1,65 +1,21 @@
-"""Shared plumbing: durable intermediate tables and whole-text Arrow maps."""
+"""Shared plumbing: whole-text Arrow maps and hash samples."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quiresmith.shelf import Shelf, shared_dir  # noqa: F401
+
 #: Code points handed to a text function at once; one longer text makes a call of its own.
 CHUNK_CHARS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (single-process tests) is a temporary folder set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quiresmith-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-class Shelf:
-    """Intermediate tables of one operator call, as parquet in the shared folder.
-
-    A written table cuts the lineage and survives lost executors. ``drop`` removes one that a later
-    table has replaced; those that a returned DataFrame still reads stay with the shared folder.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/quiresmith/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def put(self, df: DataFrame) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n}"
-        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-        df.write.parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        out._shelf_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        if path := getattr(df, "_shelf_path", None):
-            jvm = self.spark._jvm
-            with contextlib.suppress(Exception):  # a file left behind harms nothing
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def chunks(texts: Sequence[str | None], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of at most ``most`` characters together (one at least)."""
     start = size = 0
