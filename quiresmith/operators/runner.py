@@ -158,4 +158,12 @@ def events(request: Request, files: list[dict]) -> list[dict]:
 
 def json_line(value: Any) -> str:
     """One ASCII line of JSON; lone surrogates become replacement characters."""
-    return json.dumps(json.loads(json.dumps(value).encode("utf-16", "surrogatepass").decode("utf-16", "replace")), ensure_ascii=True)
+
+    def clean(x):
+        if isinstance(x, str):
+            return x.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+        if isinstance(x, Mapping):
+            return {clean(k): clean(v) for k, v in x.items()}
+        return [clean(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+    return json.dumps(clean(value), ensure_ascii=True)
