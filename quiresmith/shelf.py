@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
 import uuid
@@ -24,17 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # a file left behind harms nothing
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+
+
 class Shelf:
     """Intermediate tables of one operator call, as parquet in the shared folder.
 
     A written table cuts the lineage and survives lost executors. ``drop`` removes one that a later
-    table has replaced; those that a returned DataFrame still reads stay with the shared folder.
+    table has replaced; those that a returned DataFrame still reads stay until the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/quiresmith/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(_delete, spark, self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -47,7 +55,4 @@ class Shelf:
 
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "_shelf_path", None):
-            jvm = self.spark._jvm
-            with contextlib.suppress(Exception):  # a file left behind harms nothing
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
