@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 from collections.abc import Sequence
 
+import numpy as np
+
 #: Units remembered in a worker, and the longest one remembered.
-MAX_UNITS = 300_000
+MAX_UNITS = 200_000
 MAX_UNIT_CHARS = 48
+#: Units encoded as one text.
+JOINED = 1000
 # A single blank between two other characters always starts a new pre-token, so a text can be cut
 # there and its parts encoded alone. Anything else stays inside a unit.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s |\s$| \s")
+# All white space but the blank and the line feed; the pre-token pattern of the byte-level
+# tokenizers; the characters for which all versions of Unicode agree on that pattern's classes.
+_RARE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LATIN = re.compile("[\n!-~¡-ſ]+")
 
 
 def public_path(name: str) -> str:
@@ -20,8 +30,46 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _plain(text: str) -> bool:
+    """Whether every blank of a text can be cut at."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _RARE))
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The printable characters that byte-level vocabularies write bytes with: bytes that print stand for
+    themselves, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {chr(b): b for b in own}
+    return out | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(own))}
+
+
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """Token bytes by rank, if the file is a byte-level BPE whose merges stand in the order of the ids.
+
+    Merging by rank of the result then gives what merging by pair gives, if every merge is the last
+    step of its own token; ``merges_are_canonical`` tells.
+    """
+    model = json.load(open(path, encoding="utf-8"))["model"]  # noqa: SIM115
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        return None
+    alphabet, vocabulary, last = byte_alphabet(), model["vocab"], -1
+    for m in model["merges"]:
+        a, b = m.split(" ") if isinstance(m, str) else m
+        now = vocabulary[a + b]
+        if now <= last:
+            return None
+        last = now
+    if any(c not in vocabulary for c in alphabet):
+        return None
+    return {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if i <= last and all(c in alphabet for c in t)}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers."""
+    """Ids of whole texts as little-endian unsigned 32-bit numbers.
+
+    Units of Latin text are encoded many at once by rank; all else, and every first unit of a text, by the
+    tokenizer itself.
+    """
 
     def __init__(self, path: str):
         import os
@@ -32,12 +80,36 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._known: dict[str, bytes] = {}
+        self._fast = None
+        if ranks := ranks_of(path):
+            import tiktoken
+
+            self._fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._opens = np.zeros(max(ranks.values()) + 1, bool)
+            self._opens[[i for t, i in ranks.items() if t.startswith(b" ")]] = True
 
     def _encode(self, units: list[str]) -> list[bytes]:
         from array import array
 
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of units behind a blank. Those without a blank inside are encoded many as one text, and told
+        apart by the one token of each that starts with a blank."""
+        out: dict[str, bytes] = {}
+        if self._fast:
+            easy = [u for u in units if _LATIN.fullmatch(u)]
+            for i in range(0, len(easy), JOINED):
+                group = easy[i : i + JOINED]
+                ids = self._fast.encode_to_numpy(" " + " ".join(group), disallowed_special=()).astype("<u4")
+                start = np.flatnonzero(self._opens[ids])
+                if len(start) == len(group):
+                    raw, cut = ids.tobytes(), [*(4 * start).tolist(), 4 * len(ids)]
+                    out.update(zip(group, (raw[a:b] for a, b in itertools.pairwise(cut)), strict=True))
+        rest = [u for u in units if u not in out]
+        out.update(zip(rest, self._encode([" " + u for u in rest]), strict=True))
+        return [out[u] for u in units]
+
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         known = self._known
         if len(known) > MAX_UNITS:
@@ -46,17 +118,35 @@ class Encoder:
         new: set[str] = set()
         for text in texts:
             text = text or ""
-            units = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            units = text.split(" ") if _plain(text) else _CUT.split(text)
             parts.append(units)
             new.update(units[1:])
         new -= known.keys()
         fresh = list(new)
-        now = dict(zip(fresh, self._encode([" " + u for u in fresh]), strict=True))
+        known.update(zip(fresh, self._encode_units(fresh), strict=True))
         firsts = self._encode([units[0] for units in parts])
-        # lookups go to one dictionary; what should not stay is taken out again
-        known.update(now)
         out = [first + b"".join(map(known.__getitem__, units[1:])) for first, units in zip(firsts, parts, strict=True)]
         for u in fresh:
             if len(u) > MAX_UNIT_CHARS:
                 del known[u]
         return out
+
+
+def merges_are_canonical(path: str) -> bool:
+    """Whether merging each token's bytes by rank, up to its last step, leaves the two parts that its own
+    merge joins. Then merging by rank and merging by pair always agree."""
+    ranks = ranks_of(path)
+    if not ranks:
+        return False
+    alphabet = byte_alphabet()
+    for m in json.load(open(path, encoding="utf-8"))["model"]["merges"]:  # noqa: SIM115
+        a, b = (bytes(alphabet[c] for c in x) for x in (m.split(" ") if isinstance(m, str) else m))
+        parts = [bytes([c]) for c in a + b]
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
+            if ranks.get(parts[best] + parts[best + 1], 1 << 60) >= ranks[a + b]:
+                return False
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        if parts != [a, b]:
+            return False
+    return True
