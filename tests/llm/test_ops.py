@@ -325,3 +325,17 @@ def test_pipeline_stages(spark, sf_dir):
         if name == "simhash_dedup":
             assert now.count() == before.agg({"doc_id": "count"}).first()[0] - registry.simhash.near_duplicates(before).where("doc_id <> component_id").count()
     assert now.count() > 0 and now.select("sequence_id").distinct().count() > 0
+
+
+def test_merging_by_rank_equals_merging_by_pair():
+    from tokenizers import Tokenizer
+
+    path = tokens.public_path("byte_bpe_50k.json")
+    assert tokens.merges_are_canonical(path)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rng = random.Random(2)
+    units = ["".join(chr(rng.choice([rng.randint(33, 126), rng.randint(97, 122), rng.randint(0xA1, 0x17F)])) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(units[i : i + 30]) for i in range(0, 3000, 30)]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert tokens.Encoder(path).encode(texts) == want
