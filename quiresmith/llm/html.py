@@ -273,16 +273,19 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
+def wrappers(pages: DataFrame, shelf: Shelf) -> DataFrame:
     """(host, constants): induced from at most SAMPLE_PAGES distinct pages of each host.
 
     ``pages`` holds (host, html). The sample takes one page of each of SAMPLE_PAGES slots of the html's
-    hash, by a grouped minimum, so a host with a third of all pages is no heavier than another.
+    hash, by a grouped minimum, so a host with a third of all pages is no heavier than another. The list
+    of picked pages is written first: its size is then known, and pages need no shuffle to meet it
+    while it is small.
     """
     h = F.xxhash64("html")
     slot = F.pmod(h, F.lit(SAMPLE_PAGES))
     picked = pages.where("html IS NOT NULL AND host <> ''").groupBy("host", slot.alias("slot")).agg(F.min(h).alias("h"))
-    sample = pages.withColumn("h", h).join(picked.select("host", "h"), ["host", "h"], "left_semi")
+    picked = shelf.put(picked.select("host", "h"))
+    sample = pages.withColumn("h", h).join(picked, ["host", "h"], "left_semi")
     sample = sample.groupBy("host", "h").agg(F.min("html").alias("html"))
 
     def run(groups: pa.Table) -> pa.Table:
@@ -307,7 +310,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     shelf = Shelf(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host(F.col("url")))
-    found = shelf.put(wrappers(rows.select("host", "html")))
+    found = shelf.put(wrappers(rows.select("host", "html"), shelf))
     joined = rows.join(found, "host", "left").select("page_id", "url", "html", "constants")
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
