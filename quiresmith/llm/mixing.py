@@ -194,23 +194,6 @@ def _calibrate(model: Classifier, z: np.ndarray, y: np.ndarray, steps: int = 400
     model.bias = w[:, -1] - model.weight @ middle
 
 
-def _poster(model: Classifier) -> Callable:
-    def make():
-        def run(texts):
-            p, n = model.posteriors(texts)
-            return {"tokens": list(map(int, n)), "posterior": p.tolist()}
-
-        return run
-
-    return make
-
-
-def posteriors(docs: DataFrame, model: Classifier, keep: Sequence[Column], text_col: str = "text") -> DataFrame:
-    """``keep`` columns, tokens (words of the whole text), posterior (of model.domains, in order)."""
-    fields = [T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
-    return map_texts(docs, keep, F.col(text_col), _poster(model), fields)
-
-
 @dataclass
 class Rates:
     """Document rates as a function of the posterior alone: the descent's steps, replayed.
@@ -289,17 +272,40 @@ def fit_rates(
     return rates
 
 
-def rate_column(posterior: Column, rates: Rates) -> Column:
-    """The rate of a row's posterior, computed by an Arrow UDF."""
-    import pandas as pd
+def _poster(model: Classifier, rates: Rates | None) -> Callable:
+    def make():
+        def run(texts):
+            p, n = model.posteriors(texts)
+            out = {"tokens": list(map(int, n)), "posterior": p.tolist()}
+            return out if rates is None else out | {"rate": rates.of(p).tolist()}
+
+        return run
+
+    return make
+
 
+def posteriors(docs: DataFrame, model: Classifier, keep: Sequence[Column], text_col: str = "text", rates: Rates | None = None) -> DataFrame:
+    """``keep`` columns, tokens (words of the whole text), posterior (of model.domains, in order), and with
+    ``rates`` the rate of each row."""
+    fields = [T.StructField("tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))]
+    if rates is not None:
+        fields.append(T.StructField("rate", T.DoubleType()))
+    return map_texts(docs, keep, F.col(text_col), _poster(model, rates), fields)
+
+
+def rated(table: DataFrame, rates: Rates) -> DataFrame:
+    """A table of (doc_id, tokens, posterior) with the rate of each row."""
     k = len(rates.domains)
+    schema = T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())])
 
-    def rate(p):
-        return pd.Series(rates.of(np.array(p.tolist(), float).reshape(len(p), k)))
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            p = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates.of(p), pa.float64())], names=schema.names)
 
-    rate.__annotations__ = {"p": pd.Series, "return": pd.Series}
-    return F.pandas_udf(rate, "double")(posterior)
+    return table.mapInArrow(run, schema)
 
 
 #: Target token shares of the label domains.
@@ -333,5 +339,5 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     model = fit_classifier(docs, labelled, id_col, text_col)
     table = Shelf(docs.sparkSession, "posteriors").put(posteriors(docs, model, [F.col(id_col).alias("doc_id")], text_col))
     rates = fit_rates(table, model.domains, targets)
-    out = table.withColumn("rate", rate_column(F.col("posterior"), rates))
+    out = rated(table.select("doc_id", "tokens", "posterior"), rates)
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))

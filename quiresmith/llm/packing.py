@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiresmith.llm.common import chunks
+from quiresmith.llm.common import bound_batches, chunks
 from quiresmith.llm.tokens import Encoder
 
 SEQUENCE = 1024
@@ -145,6 +145,7 @@ def pack(
     A null or empty text is the single id 0. Repeated rows and null ids are packed like any others;
     other columns are ignored, whatever their names. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
     fields = [kept.schema["doc_id"], *(T.StructField(n, t) for n, t in _OUT)]
     if with_ids:
@@ -165,9 +166,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts, 1_000_000):
-                for key, ids in zip(keys[a:b], encoder.encode(texts[a:b]), strict=True):
+            for at, texts in chunks(batch.column(1)):
+                keys = batch.column(0).slice(at, len(texts)).to_pylist()
+                for key, ids in zip(keys, encoder.encode(texts), strict=True):
                     ids += _END
                     packer.add(key, ids, 0, len(ids) // 4)
                 if packer.tokens >= window:

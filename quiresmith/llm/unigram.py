@@ -15,7 +15,7 @@ UNKNOWN_PENALTY = 10.0
 #: Stands for a blank, in front of each pre-token.
 BLANK = "\u2581"
 #: Pre-tokens remembered in a worker, and the longest one remembered.
-MAX_UNITS = 400_000
+MAX_UNITS = 250_000
 MAX_UNIT_CHARS = 48
 
 
