@@ -63,9 +63,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = mixing.fit_classifier(docs, labelled)
     table = Shelf(spark, "posteriors").put(mixing.posteriors(docs, model, []))
     rates = mixing.fit_rates(table, model.domains, MIX)
-    rated = mixing.posteriors(docs, model, [F.col(c) for c in names])
-    copies = mixing.copies(mixing.rate_column(F.col("posterior"), rates), F.col("doc_id"))
-    rated = rated.withColumn("copies", copies).where("copies > 0")
+    rated = mixing.posteriors(docs, model, [F.col(c) for c in names], rates=rates)
+    rated = rated.withColumn("copies", mixing.copies(F.col("rate"), F.col("doc_id"))).where("copies > 0")
     return rated.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(names)
 
 
