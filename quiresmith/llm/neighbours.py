@@ -20,7 +20,7 @@ TREES, CELL = 4, 96
 ROUNDS, ATTEMPTS = 2, 3
 #: Audited vectors at most, and the recall of links at which an attempt is accepted.
 AUDITED, RECALL = 256, 0.97
-#: Vectors of one component that are compared with each other at once.
+#: Vectors of a tile.
 BLOCK = 1024
 #: Components up to this size are completed whether or not a list in them is saturated.
 SMALL = 256
@@ -166,36 +166,126 @@ def _descend(vectors: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, _EDGES)
 
 
-def _complete(vectors: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(id, n): for members (id, root, size) of a component, the weight of those linked to each.
+def _pairs(tiles: DataFrame) -> DataFrame:
+    """(a, b), a <= b: pairs of tiles (tile, dim, center, radius) that may hold a link between them.
 
-    The component is cut into blocks by hash and each pair of blocks is compared in a task of its own,
-    which returns one count a vector, never the pairs.
+    ``radius`` is the largest angle between the center and a vector of the tile plus half the angle of
+    the threshold, so vectors of two tiles can only link if their centers are no farther apart than
+    both radii together. Centers are compared in blocks, each pair of blocks in a task of its own.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = tiles.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    rows = tiles.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("tile"), F.col("blocks")).cast("int"))
     mate = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("root", "id", "block", mate.alias("mate"))
-    rows = rows.select("root", F.least("block", "mate").alias("a"), F.greatest("block", "mate").alias("b"), "block", "id")
-    rows = rows.join(vectors.select("id", "vector", "weight"), "id").select("root", "a", "b", "block", "id", "weight", "vector")
-    rows = rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+    rows = rows.select("dim", "block", mate.alias("mate"), "tile", "center", "radius")
+    rows = rows.select("dim", F.least("block", "mate").alias("a"), F.greatest("block", "mate").alias("b"), "block", "tile", "radius", "center")
+    rows = rows.repartition("dim", "a", "b").sortWithinPartitions("dim", "a", "b")
 
     def run(batches):
         for g in _groups(batches, 3):
-            ids, weight, block = (g.column(c).to_numpy() for c in ("id", "weight", "block"))
-            x = _unit(_matrix(g.column("vector").combine_chunks()))
+            tile, radius, block = (g.column(c).to_numpy() for c in ("tile", "radius", "block"))
+            x = _matrix(g.column("center").combine_chunks())
             a, b = g.column("a")[0].as_py(), g.column("b")[0].as_py()
             left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-            near = x[left] @ x[right].T >= threshold
+            angle = np.arccos(np.clip(x[left] @ x[right].T, -1, 1))
+            i, j = np.nonzero(angle <= radius[left][:, None] + radius[right][None, :])
+            u, v = tile[left[i]], tile[right[j]]
             if a == b:
-                np.fill_diagonal(near, False)
-            n = np.zeros(len(ids), np.int64)
-            n[left] += near @ weight[right]
-            if a != b:
-                n[right] += weight[left] @ near
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
+                u, v = u[u <= v], v[u <= v]
+            for at in range(0, len(u), 100_000):
+                p, q = u[at : at + 100_000], v[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _tiles(vectors: DataFrame, dealt: DataFrame, threshold: float) -> DataFrame:
+    """(tile, dim, center, radius) of the tiles that ``dealt`` (id, tile) puts vectors in; see _pairs."""
+    half = math.acos(max(-1.0, min(1.0, threshold))) / 2
+    rows = dealt.select("id", "tile").join(vectors.select("id", "vector"), "id").select("tile", "vector")
+    rows = rows.repartition("tile").sortWithinPartitions("tile")
+
+    def run(batches):
+        for g in _groups(batches, 1):
+            x = _unit(_matrix(g.column("vector").combine_chunks()))
+            center = x.mean(axis=0)
+            size = np.sqrt(center @ center)
+            center = center / size if size > 1e-9 else x[0]
+            radius = float(np.arccos(np.clip(x @ center, -1, 1)).max()) + half + 1e-6
+            yield pa.RecordBatch.from_arrays(
+                [g.column("tile").combine_chunks()[:1], pa.array([x.shape[1]], pa.int32()), pa.array([center.tolist()], pa.list_(pa.float64())), pa.array([radius])],
+                names=["tile", "dim", "center", "radius"],
+            )
+
+    return rows.mapInArrow(run, "tile long, dim int, center array<double>, radius double")
+
+
+def _joined(near: np.ndarray) -> np.ndarray:
+    """For each left and right vector of a bipartite table of links the first left vector it hangs with, or -1."""
+    m, k = near.shape
+    head = np.full(m + k, -1)
+    degree = near.any(axis=1)
+    for i in range(m):
+        if degree[i] and head[i] < 0:
+            head[i] = i
+            todo = np.array([i])
+            while len(todo):
+                cols = np.flatnonzero(near[todo].any(axis=0) & (head[m:] < 0))
+                head[m + cols] = i
+                rows = np.flatnonzero(near[:, cols].any(axis=1) & (head[:m] < 0)) if len(cols) else cols
+                head[rows] = i
+                todo = rows
+    return head
+
+
+def _compare(vectors: DataFrame, dealt: DataFrame, pairs: DataFrame, threshold: float, shelf: Shelf) -> DataFrame:
+    """(id, root, n, other): every pair of tiles compared vector by vector, each in a task of its own.
+
+    ``dealt`` holds (id, root, tile), ``pairs`` holds (a, b). A row tells the weight of those that link
+    to a vector in one pair of tiles, and the root of one of those it hangs with there; the pairs of
+    vectors themselves never leave the task.
+    """
+    side = pairs.select("a", "b", F.col("a").alias("tile")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("tile")))
+    rows = dealt.join(vectors.select("id", "vector", "weight"), "id").join(side, "tile").select("a", "b", "tile", "id", "root", "weight", "vector")
+    rows = rows.repartition("a", "b").sortWithinPartitions("a", "b")
 
-    return rows.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    def run(batches):
+        for g in _groups(batches, 2):
+            ids, roots, weight, tile = (g.column(c).to_numpy() for c in ("id", "root", "weight", "tile"))
+            x = _unit(_matrix(g.column("vector").combine_chunks()))
+            a, b = g.column("a")[0].as_py(), g.column("b")[0].as_py()
+            left, right = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
+            near = np.empty((len(left), len(right)), bool)
+            for at in range(0, len(left), BLOCK):
+                near[at : at + BLOCK] = x[left[at : at + BLOCK]] @ x[right].T >= threshold
+            if a == b:
+                np.fill_diagonal(near, False)
+            n = np.zeros(len(ids))
+            for at in range(0, len(left), BLOCK):
+                part, i = near[at : at + BLOCK], left[at : at + BLOCK]
+                if part.any():
+                    part = part.astype(np.float64)
+                    n[i] += part @ weight[right]
+                    if a != b:
+                        n[right] += weight[i] @ part
+            head = _joined(near)
+            first, last = head[: len(left)], head[len(left) :]
+            hit = np.concatenate([left, right])
+            to = np.concatenate([np.where(first >= 0, left[first], left), np.where(last >= 0, left[last], right)])
+            n = n[hit].astype(np.int64)
+            if a == b:  # each vector stands on both sides, which ties its two heads
+                n[len(left) :] = 0
+            keep = (n > 0) | (roots[hit] != roots[to])
+            hit, to, n = hit[keep], to[keep], n[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(roots[hit]), pa.array(n), pa.array(roots[to])], names=["id", "root", "n", "other"])
+
+    return shelf.put(rows.mapInArrow(run, "id long, root long, n long, other long"))
+
+
+def _merged(roots: DataFrame, found: DataFrame, shelf: Shelf) -> DataFrame:
+    """``roots`` (id, root) after the links of ``found`` have joined components."""
+    up = components(found.select("root", "other").where("root <> other").distinct(), "root", "other", shelf)
+    up = up.select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return shelf.put(roots.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
 
 
 def _audit(vectors: DataFrame, counts: DataFrame, n: int, threshold: float) -> tuple[int, int]:
@@ -236,8 +326,9 @@ def near_duplicates(
 
     Equal vectors form one class and are never paired. Classes get a first neighbour graph from cells
     of random hyperplanes, which rounds of NN-descent refine. Edges of at least the threshold make
-    components; where a neighbour list holds nothing but links it is saturated, and the lists of that
-    component are enlarged to the whole component, compared block by block. A random set of vectors
+    components; where a neighbour list holds nothing but links it is saturated, and the vectors of that
+    component are compared with each other and with those of all components with saturated lists,
+    save where centers and radii rule a link out. A random set of vectors
     is then held against all rows: below a recall of RECALL another forest is added. ``report`` gets
     the recall of each attempt.
 
@@ -276,12 +367,17 @@ def near_duplicates(
         sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
         full = near.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).join(roots, F.col("u") == F.col("id")).select("root").distinct()
         whole = sizes.join(full.withColumn("full", F.lit(True)), "root", "left").where(F.col("full") | (F.col("size") <= SMALL))
-        members = roots.join(whole.select("root", "size"), "root")
-        done = _complete(vectors, members, threshold)
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK))
+        tile = F.xxhash64("root", F.pmod(F.xxhash64("id"), blocks))
+        dealt = shelf.put(roots.join(whole, "root").select("id", "root", "full", tile.alias("tile")))
+        pairs = _pairs(_tiles(vectors, dealt.where("full"), threshold))
+        pairs = shelf.put(pairs.unionByName(dealt.where("full IS NULL").select(F.col("tile").alias("a"), F.col("tile").alias("b")).distinct()))
+        done = _compare(vectors, dealt.select("id", "root", "tile"), pairs, threshold, shelf)
         both = near.select("u", "v").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         listed = both.join(roots.join(whole.select("root"), "root", "left_anti").select(F.col("id").alias("u")), "u")
         listed = listed.join(vectors.select(F.col("id").alias("v"), "weight"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("n"))
-        counts = shelf.put(done.unionByName(listed))
+        counts = shelf.put(done.groupBy("id").agg(F.sum("n").alias("n")).unionByName(listed))
+        roots = _merged(roots, done, shelf)
         found, there = _audit(vectors, counts, n, threshold)
         recall = found / there if there else 1.0
         if report:

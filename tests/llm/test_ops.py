@@ -144,6 +144,31 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.near_duplicates(df.limit(0)).collect() == []
 
 
+def linked(df, x, **options):
+    got = {r.vec_id: r for r in neighbours.near_duplicates(df, **options).collect()}
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = y @ y.T >= 0.95
+    np.fill_diagonal(true, False)
+    reach = np.arange(len(x))
+    for _ in range(len(x)):
+        after = np.minimum(reach, np.where(true, reach, len(x)).min(axis=1))
+        if (after == reach).all():
+            break
+        reach = after
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == list(zip(true.sum(axis=1).tolist(), reach.tolist(), strict=True))
+    return true
+
+
+def test_neighbours_across_saturated_groups(spark):
+    rng = np.random.default_rng(7)
+    center, aside = np.eye(24)[0], np.eye(24)[1]
+    turned = 0.96 * center + np.sqrt(1 - 0.96**2) * aside
+    groups = [c + rng.standard_normal((70, 24)) * 0.005 for c in (center, turned, np.eye(24)[5])]
+    x = np.concatenate([*groups, rng.standard_normal((60, 24))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert linked(df, x)[:70, 70:140].any()
+
+
 def test_unigram_counts_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
