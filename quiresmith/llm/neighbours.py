@@ -17,11 +17,13 @@ from quiresmith.llm.graph import components
 NEIGHBOURS, REVERSE = 10, 6
 #: Trees of random hyperplanes that the first graph is made from, and vectors aimed at in a cell.
 TREES, CELL = 4, 96
-ROUNDS, ATTEMPTS = 2, 3
-#: Audited vectors at most, and the recall of links at which an attempt is accepted.
-AUDITED, RECALL = 256, 0.97
-#: Vectors of a tile.
-BLOCK = 1024
+#: Rounds at most before an audit (they end when they stop improving), and forests before the exact search.
+ROUNDS, ATTEMPTS = 8, 3
+#: Audited vectors of each kind, those without a link that one audit holds at most, and the recall at
+#: which an attempt is accepted.
+AUDITED, AUDITED_MOST, RECALL = 256, 8192, 0.97
+#: Vectors of a tile, and of a tile of the exact search.
+BLOCK, EXACT_BLOCK = 1024, 8192
 #: Components up to this size are completed whether or not a list in them is saturated.
 SMALL = 256
 _SLACK = 1e-12  # sums of doubles in another order
@@ -288,11 +290,39 @@ def _merged(roots: DataFrame, found: DataFrame, shelf: Shelf) -> DataFrame:
     return shelf.put(roots.join(up, "root", "left").select("id", F.coalesce("top", "root").alias("root")))
 
 
-def _audit(vectors: DataFrame, counts: DataFrame, n: int, threshold: float) -> tuple[int, int]:
-    """Links found and links there are, of a bounded random set of vectors held against all rows."""
-    picked = vectors.where(hash01(F.col("id"), seed=4) < min(1.0, AUDITED / max(1, n))).select("id", "vector").limit(4 * AUDITED).collect()
-    if not picked:
-        return 0, 0
+def _exact(vectors: DataFrame, n: int, threshold: float, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
+    """(counts, roots) of all vectors, each compared with every other that tiles do not rule out."""
+    tile = F.xxhash64(F.size("vector"), F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / EXACT_BLOCK)))))
+    dealt = shelf.put(vectors.select("id", F.col("id").alias("root"), tile.alias("tile")))
+    found = _compare(vectors, dealt, _pairs(_tiles(vectors, dealt, threshold)), threshold, shelf)
+    counts = shelf.put(found.groupBy("id").agg(F.sum("n").alias("n")))
+    linked = components(found.select("root", "other"), "root", "other", shelf)
+    return counts, linked
+
+
+def _audit(vectors: DataFrame, counts: DataFrame, roots: DataFrame, n: int, threshold: float) -> dict:
+    """Recall of links by vector, of random vectors held against all rows, each kind apart.
+
+    The kinds are vectors of small components, of large ones, and those for which no link was found.
+    Of the last as many are held as it takes to tell that those which have links after all are too
+    few to matter beside the vectors with links; where that is more than AUDITED_MOST, ``held`` is
+    False and nothing was compared.
+    """
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    known = counts.where("n > 0").join(roots.join(sizes, "root"), "id", "left")
+    kinds = vectors.select("id", "vector").join(known.select("id", "n", "size"), "id", "left")
+    kind = F.when(F.col("n").isNull(), 0).when(F.coalesce("size", F.lit(0)) <= SMALL, 1).otherwise(2)
+    kinds = kinds.withColumn("kind", kind)
+    many = {r.kind: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    alone, linked = many.get(0, 0), many.get(1, 0) + many.get(2, 0)
+    # 3 / m bounds a share of which m draws show nothing (at 95 %)
+    need = min(alone, max(AUDITED, math.ceil(3 * alone / max(1e-9, (1 - RECALL) * linked))) if linked else alone)
+    out = {"vectors": n, "recall": 0.0, "held": need <= AUDITED_MOST, "links": 0, "of": 0}
+    if not out["held"]:
+        return out
+    share = {0: need, 1: AUDITED, 2: AUDITED}
+    rate = F.coalesce(*(F.when(F.col("kind") == k, F.lit(1.0 if m >= many.get(k, 0) else m / many[k])) for k, m in share.items()))
+    picked = kinds.where(hash01(F.col("id"), seed=4) < rate).select("id", "vector", "kind", F.coalesce("n", F.lit(0)).alias("n")).collect()
     by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {len(r.vector) for r in picked}:
         own = [r for r in picked if len(r.vector) == d]
@@ -305,13 +335,28 @@ def _audit(vectors: DataFrame, counts: DataFrame, n: int, threshold: float) -> t
                 rows = np.flatnonzero(size == d)
                 if not len(rows):
                     continue
-                near = q @ _unit(_matrix(b.column(2).take(pa.array(rows)))).T >= threshold
-                near &= ids[:, None] != b.column(0).to_numpy()[rows][None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ b.column(1).to_numpy()[rows])], names=["id", "n"])
+                x = _unit(_matrix(b.column(2).take(pa.array(rows))))
+                own, weight = b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows]
+                for at in range(0, len(ids), BLOCK):
+                    near = q[at : at + BLOCK] @ x.T >= threshold
+                    near &= ids[at : at + BLOCK, None] != own[None, :]
+                    there = near @ weight
+                    hit = there > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + BLOCK][hit]), pa.array(there[hit])], names=["id", "n"])
 
     true = vectors.select("id", "weight", "vector").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("there"))
-    row = true.join(counts, "id", "left").agg(F.sum(F.least("there", F.coalesce("n", F.lit(0)))), F.sum("there")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    there = {r.id: r.there for r in true.collect()}
+    recall = {}
+    for k in (1, 2):
+        own = [min(r.n, there[r.id]) / there[r.id] for r in picked if r.kind == k and r.id in there]
+        recall[k] = sum(own) / len(own) if own else 1.0
+    held = [r for r in picked if r.kind == 0]
+    missed = alone * sum(r.id in there for r in held) / max(1, len(held))
+    recall[0] = linked / (linked + missed) if linked + missed else 1.0
+    out["links"] = sum(min(r.n, there.get(r.id, 0)) for r in picked)
+    out["of"] = sum(there.values())
+    out["recall"] = min(recall.values())
+    return out
 
 
 def near_duplicates(
@@ -328,9 +373,10 @@ def near_duplicates(
     of random hyperplanes, which rounds of NN-descent refine. Edges of at least the threshold make
     components; where a neighbour list holds nothing but links it is saturated, and the vectors of that
     component are compared with each other and with those of all components with saturated lists,
-    save where centers and radii rule a link out. A random set of vectors
-    is then held against all rows: below a recall of RECALL another forest is added. ``report`` gets
-    the recall of each attempt.
+    save where centers and radii rule a link out. Random vectors are then held against all rows, see
+    _audit: below a recall of RECALL another forest is added, and after ATTEMPTS, or where so few
+    vectors have links that an audit cannot tell, all vectors are compared tile by tile, whose cost
+    is the square of their number. ``report`` gets the recall of each attempt.
 
     Vectors that are null, zero, empty, or hold null or non-finite components link with nothing, nor
     do rows with a null id (component_id null, kept false). Vectors of different lengths never link.
@@ -378,11 +424,15 @@ def near_duplicates(
         listed = listed.join(vectors.select(F.col("id").alias("v"), "weight"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("n"))
         counts = shelf.put(done.groupBy("id").agg(F.sum("n").alias("n")).unionByName(listed))
         roots = _merged(roots, done, shelf)
-        found, there = _audit(vectors, counts, n, threshold)
-        recall = found / there if there else 1.0
+        audit = _audit(vectors, counts, roots, n, threshold)
         if report:
-            report({"attempt": attempt, "vectors": n, "links": found, "of": there, "recall": recall})
-        if recall >= RECALL:
+            report({"attempt": attempt, **audit})
+        if audit["recall"] >= RECALL:
+            break
+        if not audit["held"] or attempt == ATTEMPTS - 1:
+            counts, roots = _exact(vectors, n, threshold, shelf)
+            if report:
+                report({"attempt": "exact", "vectors": n, "recall": 1.0})
             break
     known = classes.select("vector", "id", "weight")
     if counts is not None:

@@ -169,6 +169,19 @@ def test_neighbours_across_saturated_groups(spark):
     assert linked(df, x)[:70, 70:140].any()
 
 
+def test_neighbours_fall_to_the_exact_search(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((300, 12))
+    x = np.concatenate([base, base[:25] + rng.standard_normal((25, 12)) * 0.05, base[0] + rng.standard_normal((20, 12)) * 0.01]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "_forest", lambda vectors, *rest: vectors.selectExpr("id AS u", "id AS v", "0D AS sim").limit(0))
+    found = []
+    monkeypatch.setattr(neighbours, "ATTEMPTS", 1)
+    monkeypatch.setattr(neighbours, "EXACT_BLOCK", 64, raising=False)
+    assert linked(df, x, report=found.append).any()
+    assert found[-1]["attempt"] == "exact"
+
+
 def test_unigram_counts_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
