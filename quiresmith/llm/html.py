@@ -19,9 +19,7 @@ from quiresmith.llm.common import Shelf
 SAMPLE_PAGES = 12
 #: Pages that must show the same text in the same place before it counts as template, and their share.
 MIN_PAGES, MIN_SHARE = 4, 0.9
-#: Like siblings beyond which a list is aligned by its ends alone.
-LONG_LIST = 12
-#: Depth to which trees are aligned.
+#: Depth to which texts may be template.
 MAX_DEPTH = 200
 
 # HTML's void elements, elements whose content is raw text, elements that do not break
@@ -121,62 +119,6 @@ def parse(html: str) -> Node:
     return root
 
 
-def key(node: Node) -> str:
-    return f"{node.tag} {node.name}"
-
-
-def align(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the most matched nodes of two trees whose roots match, and the pairs.
-
-    Children are aligned in order by dynamic programming; nodes match if tag, class and id agree.
-    Elements MAX_DEPTH deep match without their children.
-    """
-    if key(a) != key(b):
-        return 0, []
-    if depth == MAX_DEPTH:
-        return 1, [(a, b)]
-    x, y = _shorten(a.children), _shorten(b.children)
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    pairs: dict[tuple[int, int], list] = {}
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            n, inner = align(p, q, depth + 1)
-            diagonal = best[i][j] + n
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], diagonal)
-            if n and diagonal == best[i + 1][j + 1]:
-                pairs[i, j] = inner
-    out = [(a, b)]
-    i, j = len(x), len(y)
-    while i and j:
-        if (i - 1, j - 1) in pairs and best[i][j] > max(best[i - 1][j], best[i][j - 1]):
-            out += pairs[i - 1, j - 1]
-            i, j = i - 1, j - 1
-        elif best[i - 1][j] >= best[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[-1][-1], out
-
-
-def _shorten(children: list[Node]) -> list[Node]:
-    """Without blank texts; of runs of like siblings longer than LONG_LIST only both ends."""
-    out: list[Node] = []
-    run: list[Node] = []
-
-    def flush():
-        out.extend(run if len(run) <= LONG_LIST else run[: LONG_LIST // 2] + run[-(LONG_LIST // 2) :])
-        run.clear()
-
-    for c in children:
-        if c.tag == "#text" and not c.text.strip():
-            continue
-        if run and key(run[-1]) != key(c):
-            flush()
-        run.append(c)
-    flush()
-    return out
-
-
 def constant_key(node: Node) -> int:
     """Place and wording of a text, as a number."""
     words = " ".join(node.text.split())
@@ -184,19 +126,29 @@ def constant_key(node: Node) -> int:
     return crc32(data, node.path) << 31 ^ crc32(data[::-1])
 
 
+def places(html: str) -> dict[int, int]:
+    """How often each text stands in each place of a page: constant_key to number."""
+    out: dict[int, int] = {}
+    todo = [(parse(html), 0)]
+    while todo:
+        n, depth = todo.pop()
+        if n.tag == "#text":
+            if n.text.strip():
+                k = constant_key(n)
+                out[k] = out.get(k, 0) + 1
+        elif depth < MAX_DEPTH:
+            todo.extend((c, depth + 1) for c in n.children)
+    return out
+
+
 def induce(pages: list[str]) -> list[int]:
-    """The constants of a host: texts that stand in the same place of nearly all its distinct pages."""
+    """The constants of a host: texts that stand in the same place, equally often, on nearly all its distinct pages."""
     pages = sorted(set(pages))
-    if len(pages) < MIN_PAGES:
-        return []
-    first, *others = (parse(p) for p in pages)
-    same: dict[int, tuple[Node, int]] = {}
-    for other in others:
-        _, pairs = align(first, other)
-        for a, b in pairs:
-            if a.tag == "#text" and a.text.split() == b.text.split():
-                same[id(a)] = (a, same.get(id(a), (a, 0))[1] + 1)
-    return sorted({constant_key(a) for a, n in same.values() if n + 1 >= MIN_PAGES and n >= MIN_SHARE * len(others)})
+    seen: dict[tuple[int, int], int] = {}
+    for p in pages:
+        for at in places(p).items():
+            seen[at] = seen.get(at, 0) + 1
+    return sorted({k for (k, _), n in seen.items() if n >= MIN_PAGES and n >= MIN_SHARE * len(pages)})
 
 
 def dropped(node: Node) -> bool:
@@ -299,8 +251,9 @@ def wrappers(pages: DataFrame, shelf: Shelf) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page.
 
-    The wrapper of a host is induced by aligning the DOM trees of a bounded sample of its distinct
-    pages; what stands unchanged in one place of nearly all of them is template. Of every page all
+    The wrapper of a host is induced from a bounded sample of its distinct pages; a text that stands
+    in one place (tags, classes and ids from the root), equally often, of nearly all of them is
+    template, however long the lists around it. Of every page all
     other texts are content, save those in elements that by tag, role, class or id are no article
     text. If the page has article elements, or a main element, only those are read.
 

@@ -222,6 +222,17 @@ def test_html_wrapper_and_blocks(spark):
     assert html.main_text(html.parse(deep), frozenset()) == "core" and html.induce([deep + str(i) for i in range(5)]) == []
 
 
+def test_html_template_in_the_middle_of_long_lists(spark):
+    menu = "".join(f"<li><a href=/{i}>section {i}</a></li>" for i in range(20))
+    page = "<body><div><ul>{menu}</ul></div><div>{body}<p>Support us<p>{tail}</div></body>"
+    rows = [(i, "http://long.example/", page.format(menu=menu, body="".join(f"<p>own {i} {j}" for j in range(9 + i % 3)), tail="<p>".join(f"end {i} {j}" for j in range(9))) ) for i in range(10)]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i = r.page_id
+        assert r.text == " ".join([f"own {i} {j}" for j in range(9 + i % 3)] + [f"end {i} {j}" for j in range(9)])
+    cells = [f"<table><tr>{'<td>yes' * (1 + i)}<td>{i}</table>" for i in range(6)]
+    assert html.induce(cells) == []  # a word that comes differently often is data
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
