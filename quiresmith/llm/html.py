@@ -15,12 +15,12 @@ from pyspark.sql import types as T
 
 from quiresmith.llm.common import Shelf
 
-#: Pages of a host that its wrapper is induced from at most (by the hash of their html).
-SAMPLE_PAGES = 12
 #: Pages that must show the same text in the same place before it counts as template, and their share.
 MIN_PAGES, MIN_SHARE = 4, 0.9
-#: Depth to which texts may be template.
-MAX_DEPTH = 200
+#: Depth to which texts may be template, and to which containers tell layouts apart.
+MAX_DEPTH, LAYOUT_DEPTH = 200, 4
+#: Share of its host's pages that a layout needs for a template of its own.
+LAYOUT_SHARE = 0.1
 
 # HTML's void elements, elements whose content is raw text, elements that do not break
 # a line of text, and block elements whose start ends an open paragraph.
@@ -52,6 +52,9 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[a-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
+# Elements that frame a page.
+CONTAINERS = frozenset("html body div main section article aside nav header footer form table center".split())
 
 
 @dataclass(eq=False)
@@ -126,29 +129,42 @@ def constant_key(node: Node) -> int:
     return crc32(data, node.path) << 31 ^ crc32(data[::-1])
 
 
-def places(html: str) -> dict[int, int]:
-    """How often each text stands in each place of a page: constant_key to number."""
+def places(html: str) -> tuple[int, dict[int, int]]:
+    """The layout of a page and how often each text stands in each place: constant_key to number.
+
+    The layout is the set of containers near the root, with classes and ids less their digits.
+    """
     out: dict[int, int] = {}
-    todo = [(parse(html), 0)]
+    layout: set[str] = set()
+    todo = [(parse(html), 0, "")]
     while todo:
-        n, depth = todo.pop()
+        n, depth, path = todo.pop()
         if n.tag == "#text":
             if n.text.strip():
                 k = constant_key(n)
                 out[k] = out.get(k, 0) + 1
-        elif depth < MAX_DEPTH:
-            todo.extend((c, depth + 1) for c in n.children)
-    return out
+            continue
+        if depth and depth <= LAYOUT_DEPTH and n.tag in CONTAINERS:
+            path = f"{path}/{n.tag} {_DIGITS.sub('', n.name)}"
+            layout.add(path)
+        if depth < MAX_DEPTH:
+            todo.extend((c, depth + 1, path) for c in n.children)
+    return crc32("\n".join(sorted(layout)).encode("utf-8", "surrogatepass")), out
+
+
+def constant(n, pages):
+    """Whether ``n`` of ``pages`` make a text template; of numbers or columns."""
+    return (n >= MIN_PAGES) & (n >= MIN_SHARE * pages)
 
 
 def induce(pages: list[str]) -> list[int]:
-    """The constants of a host: texts that stand in the same place, equally often, on nearly all its distinct pages."""
+    """The constants of a host without regard to layouts: what ``wrappers`` counts, of a few pages."""
     pages = sorted(set(pages))
     seen: dict[tuple[int, int], int] = {}
     for p in pages:
-        for at in places(p).items():
+        for at in places(p)[1].items():
             seen[at] = seen.get(at, 0) + 1
-    return sorted({k for (k, _), n in seen.items() if n >= MIN_PAGES and n >= MIN_SHARE * len(pages)})
+    return sorted({k for (k, _), n in seen.items() if constant(n, len(pages))})
 
 
 def dropped(node: Node) -> bool:
@@ -226,36 +242,52 @@ def host(url):
 
 
 def wrappers(pages: DataFrame, shelf: Shelf) -> DataFrame:
-    """(host, constants): induced from at most SAMPLE_PAGES distinct pages of each host.
+    """(site, constants), site the hash of a host: counted over all distinct pages of each host.
 
-    ``pages`` holds (host, html). The sample takes one page of each of SAMPLE_PAGES slots of the html's
-    hash, by a grouped minimum, so a host with a third of all pages is no heavier than another. The list
-    of picked pages is written first: its size is then known, and pages need no shuffle to meet it
-    while it is small.
+    ``pages`` holds (host, html). A text is template where it stands in one place, equally often, on
+    MIN_SHARE of the pages of its host, or of one layout that at least LAYOUT_SHARE of them have.
+    Copies of a page count once: of a page only hashes and numbers of its texts travel, and counts
+    are combined map-side, so a host with a third of all pages is no heavier than another.
     """
-    h = F.xxhash64("html")
-    slot = F.pmod(h, F.lit(SAMPLE_PAGES))
-    picked = pages.where("html IS NOT NULL AND host <> ''").groupBy("host", slot.alias("slot")).agg(F.min(h).alias("h"))
-    picked = shelf.put(picked.select("host", "h"))
-    sample = pages.withColumn("h", h).join(picked, ["host", "h"], "left_semi")
-    sample = sample.groupBy("host", "h").agg(F.min("html").alias("html"))
-
-    def run(groups: pa.Table) -> pa.Table:
-        name = groups.column("host")[0].as_py()
-        return pa.table({"host": pa.array([name], pa.string()), "constants": pa.array([induce(groups.column("html").to_pylist())], pa.list_(pa.int64()))})
+    rows = pages.where("html IS NOT NULL AND host <> ''").select(F.xxhash64("host").alias("site"), F.xxhash64("html").alias("h"), "html")
 
-    found = sample.select("host", "html").groupBy("host").applyInArrow(run, "host string, constants array<long>")
-    return found.where("size(constants) > 0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for site, h, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if (site, h) in seen:
+                    continue
+                if len(seen) < 100_000:
+                    seen.add((site, h))
+                layout, found = places(html)
+                for column, value in zip(out, (site, h, layout, list(found), list(found.values())), strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["site", "h", "layout", "keys", "times"])
+
+    read = rows.mapInArrow(run, "site long, h long, layout long, keys array<long>, times array<int>")
+    read = shelf.put(read.groupBy("site", "h").agg(F.first(F.struct("layout", "keys", "times")).alias("x")).select("site", "x.*"))
+    sizes = read.groupBy("site", "layout").agg(F.count("*").alias("pages"))
+    hosts = sizes.groupBy("site").agg(F.sum("pages").alias("host_pages")).where(F.col("host_pages") >= MIN_PAGES)
+    layouts = sizes.join(hosts, "site").where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= LAYOUT_SHARE * F.col("host_pages")))
+    texts = read.select("site", "layout", F.explode(F.arrays_zip("keys", "times")).alias("t")).select("site", "layout", "t.*")
+    texts = texts.groupBy("site", "layout", "keys", "times").agg(F.count("*").alias("n"))
+    texts = shelf.put(texts)
+    everywhere = texts.groupBy("site", "keys", "times").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES).join(hosts, "site").where(constant(F.col("n"), F.col("host_pages")))
+    somewhere = texts.where(F.col("n") >= MIN_PAGES).join(layouts, ["site", "layout"]).where(constant(F.col("n"), F.col("pages")))
+    found = everywhere.select("site", "keys").unionByName(somewhere.select("site", "keys"))
+    return found.groupBy("site").agg(F.collect_set("keys").alias("constants"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page.
 
-    The wrapper of a host is induced from a bounded sample of its distinct pages; a text that stands
-    in one place (tags, classes and ids from the root), equally often, of nearly all of them is
-    template, however long the lists around it. Of every page all
-    other texts are content, save those in elements that by tag, role, class or id are no article
-    text. If the page has article elements, or a main element, only those are read.
+    The wrapper of a host is counted over all its distinct pages, see ``wrappers``: a text that
+    stands in one place (tags, classes and ids from the root), equally often, on nearly all pages of
+    the host or of one of its layouts is template. Of every page all other texts are content, save
+    those in elements that by tag, role, class or id are no article text. If the page has article
+    elements, or a main element, only those are read.
 
     A null html counts as empty and gives an empty text; pages without a host or of a host with fewer
     than MIN_PAGES distinct pages have no template. Repeated rows and null ids are kept; other columns
@@ -264,7 +296,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     shelf = Shelf(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host(F.col("url")))
     found = shelf.put(wrappers(rows.select("host", "html"), shelf))
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "constants")
+    joined = rows.join(found, F.xxhash64("host") == F.col("site"), "left").select("page_id", "url", "html", "constants")
     schema = T.StructType([joined.schema["page_id"], joined.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

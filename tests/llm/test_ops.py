@@ -233,6 +233,20 @@ def test_html_template_in_the_middle_of_long_lists(spark):
     assert html.induce(cells) == []  # a word that comes differently often is data
 
 
+def test_html_template_of_all_pages_and_layouts(spark):
+    one = "<body><div class=left>Our motto</div><div><p>story {i}</div></body>"
+    two = "<body><section>Ask us</section><section><p>story {i}</section></body>"
+    rows = [(i, "http://two.example/", (one, two)[i % 2].format(i=i)) for i in range(40)]
+    rows += [(100 + 10 * h + i, f"http://four{h}.example/", one.format(i=i)) for h in range(8) for i in range(4)]
+    rows += [(200 + i, "http://empty.example/", one.format(i=i)) for i in range(30)] + [(230, "http://empty.example/", "")]
+    rows += [(300 + i, "http://copies.example/", one.format(i=i // 10)) for i in range(30)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert [got[i] for i in range(40)] == [f"story {i}" for i in range(40)]
+    assert all(got[100 + 10 * h + i] == f"story {i}" for h in range(8) for i in range(4))
+    assert all(got[200 + i] == f"story {i}" for i in range(30)) and got[230] == ""
+    assert got[300] == "Our motto story 0"  # three pages and copies of them make no template
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
