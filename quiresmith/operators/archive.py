@@ -88,8 +88,10 @@ def stamp(members: DataFrame) -> DataFrame:
     """Members with the provenance mark in every package document; marked ones stay as they are."""
 
     def mark(data):
+        if data is None:  # Spark hands a function all rows, also those that its branch is not for
+            return None
         text = package.decode(bytes(data))
         marked = package.stamp(text)
         return bytes(data) if marked == text else package.as_utf8(marked).encode()
 
-    return members.withColumn("content", F.when(F.col("ext") == "opf", F.udf(mark, "binary")("content")).otherwise(F.col("content")))
+    return members.withColumn("content", F.when(F.col("ext") == "opf", F.udf(mark, "binary")(F.when(F.col("ext") == "opf", F.col("content")))).otherwise(F.col("content")))

@@ -1,4 +1,8 @@
-"""Archive operators over books made of the page corpus: twenty pages a book."""
+"""Archive operators over books made of the page corpus: twenty pages a book.
+
+Most queries hold a short chapter with the digest of each page, so that SQL can follow the operators
+into the text; ``whole`` ones pack the pages themselves.
+"""
 
 from __future__ import annotations
 
@@ -16,15 +20,21 @@ _CSS = '@font-face{font-family:"Plain";src:url(f.ttf)} @font-face{font-family:Lo
 _BOOK = "'b' || lpad(CAST(page_id // 20 AS VARCHAR), 9, '0') || '.epub'"
 _PATH = "'OPS/Text/' || page_id || '.xhtml'"
 _VISIBLE = """'<html><head><title>t</title><link rel="stylesheet" href="../m.css"/></head><body><p>' || md5(html) || '</p><b>' || page_id || '</b><a href="' || (page_id // 20 * 20) || '.xhtml#top">first</a></body></html>'"""
+_WHOLE = """'<link rel="stylesheet" href="../m.css"/>' || coalesce(html, '')"""
+
 
+def members(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(book_id, ord, path, content): chapters, a style sheet, a font name without a font program, a package.
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book_id, ord, path, content): chapters, a style sheet, a font name without a font program, a package."""
+    A chapter is the whole html of a page after a link to the style sheet, or a short text with its digest.
+    """
     book = F.format_string("b%09d.epub", (F.col("page_id") / 20).cast("long"))
     body = F.concat(
         F.lit('<html><head><title>t</title><link rel="stylesheet" href="../m.css"/></head><body><p>'), F.md5("html"), F.lit("</p><b>"), F.col("page_id").cast("string"),
         F.lit('</b><a href="'), ((F.col("page_id") / 20).cast("long") * 20).cast("string"), F.lit('.xhtml#top">first</a></body></html>'),
     )
+    if whole:
+        body = F.concat(F.lit('<link rel="stylesheet" href="../m.css"/>'), F.coalesce("html", F.lit("")))
     pages = table(spark, sf_dir, "pages").select(book.alias("book_id"), "page_id", body.alias("body"))
     chapters = pages.select("book_id", (F.col("page_id") % 20 + 10).cast("int").alias("ord"), F.concat(F.lit("OPS/Text/"), F.col("page_id").cast("string"), F.lit(".xhtml")).alias("path"), F.col("body").cast("binary").alias("content"))
     item = F.concat(F.lit('<item id="p'), F.col("page_id").cast("string"), F.lit('" href="Text/'), F.col("page_id").cast("string"), F.lit('.xhtml" media-type="application/xhtml+xml"/>'))
@@ -39,9 +49,9 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("book_id", rows.alias("r")).select("book_id", "r.*").unionByName(chapters)
 
 
-def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scanned(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The books packed into archives and scanned again."""
-    packed = Shelf(spark, "books").put(archive.pack(members(spark, sf_dir)).select("book_id", "content"))
+    packed = Shelf(spark, "books").put(archive.pack(members(spark, sf_dir, whole)).select("book_id", "content"))
     return epub.members(packed)
 
 
@@ -123,3 +133,20 @@ def provenance_stamp(spark, sf_dir):
 def script_conversion(spark, sf_dir):
     out = workspace.convert_text(scanned(spark, sf_dir), {"first": "FIRST", "link": "LINK"})["members"]
     return out.where("ext = 'xhtml'").select("book_id", "path", F.md5("content").alias("digest"))
+
+
+@register("archive_round_trip_whole", f"SELECT {_BOOK} AS book_id, {_PATH} AS path, md5({_WHOLE}) AS digest, CAST(strlen({_WHOLE}) AS BIGINT) AS size FROM pages")
+def archive_round_trip_whole(spark, sf_dir):
+    """Whole pages packed and scanned again."""
+    out = scanned(spark, sf_dir, whole=True).where("error IS NULL AND ext = 'xhtml'")
+    return out.select("book_id", "path", F.md5("content").alias("digest"), "size")
+
+
+@register("provenance_stamp_whole", f"SELECT {_BOOK} AS book_id, {_PATH} AS path, md5({_WHOLE}) AS digest, CAST(1 AS BIGINT) AS marks FROM pages")
+def provenance_stamp_whole(spark, sf_dir):
+    """Whole pages in books stamped twice, packed and scanned again: one mark, every chapter as it was."""
+    twice = archive.stamp(archive.stamp(scanned(spark, sf_dir, whole=True)))
+    found = epub.members(Shelf(spark, "stamped").put(archive.pack(twice).select("book_id", "content")))
+    marks = (F.size(F.split(F.col("content").cast("string"), 'name="generator"')) - 1).cast("long")
+    marks = found.where("ext = 'opf'").select("book_id", marks.alias("marks"))
+    return found.where("ext = 'xhtml'").join(marks, "book_id").select("book_id", "path", F.md5("content").alias("digest"), "marks")

@@ -193,3 +193,75 @@ def test_streaming_front_end(spark, folder, tmp_path):
     q.awaitTermination(120)
     assert sum(r.n for r in spark.table("hours").collect()) == 3
     assert streaming.new_books(spark, str(folder)).isStreaming
+
+
+def visible(html, apart=("script", "style")):
+    """(words of visible text, everything else) of a page, by the standard library's parser alone."""
+    from html.parser import HTMLParser
+
+    text, rest = [], []
+
+    class Reader(HTMLParser):
+        inside = None
+
+        def handle_starttag(self, tag, attrs):
+            rest.append((tag, attrs))
+            self.inside = tag if tag in apart else self.inside
+
+        def handle_endtag(self, tag):
+            rest.append(tag)
+            self.inside = None if tag == self.inside else self.inside
+
+        def handle_data(self, data):
+            (rest if self.inside else text).append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    return "".join(text).split(), rest
+
+
+def in_paragraphs(html):
+    """Text whose nearest p or b is a p: what the books' style sheet sets in the embedded font."""
+    from html.parser import HTMLParser
+
+    text, opened = [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("br", "img", "meta", "link", "input", "hr"):
+                opened.append(tag)
+
+        def handle_endtag(self, tag):
+            if tag in opened:
+                while opened.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if next((t for t in reversed(opened) if t in ("p", "b")), "") == "p":
+                text.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    return "".join(text)
+
+
+def test_whole_pages_converted_and_set_in_fonts(spark, sf_dir):
+    from quiresmith.plans import archives
+
+    pages = {f"OPS/Text/{r.page_id}.xhtml": r.html or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    scan = archives.scanned(spark, sf_dir, whole=True).where("error IS NULL")
+    out = workspace.convert_text(scan, {"e": "\u00eb"})["members"].where("ext = 'xhtml'").collect()
+    assert {r.path for r in out} == set(pages)
+    for r in out:
+        before, after = visible(pages[r.path]), visible(bytes(r.content).decode().partition("../m.css\"/>")[2])
+        assert after[0] == [w.replace("e", "\u00eb") for w in before[0]] and after[1] == before[1]
+    set_in = {}
+    for r in fonts.pieces(scan).collect():
+        if r.path in pages:
+            set_in.setdefault(r.path, []).append(r)
+    for path, html in pages.items():
+        own = sorted(set_in[path], key=lambda r: r.pos)
+        assert sorted("".join("".join(r.text.split()) for r in own if r.font)) == sorted("".join(in_paragraphs(html).split()))
+        assert sorted("".join("".join(r.text.split()) for r in own)) == sorted("".join(visible(html, ("script", "style", "title"))[0]))
