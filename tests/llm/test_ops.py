@@ -219,7 +219,7 @@ def test_html_wrapper_and_blocks(spark):
     assert [got[i].text for i in (100, 101, 102, 103)] == ["", "", "plain text two", "A bc"]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
     deep = "<div>" * 5000 + "core" + "</div>" * 5000
-    assert html.main_text(html.parse(deep), frozenset()) == "core" and html.induce([deep + str(i) for i in range(5)]) == []
+    assert html.main_text(html.parse(deep)) == "core" and len(html.induce([deep + str(i) for i in range(5)])) == 1
 
 
 def test_html_template_in_the_middle_of_long_lists(spark):
@@ -244,7 +244,73 @@ def test_html_template_of_all_pages_and_layouts(spark):
     assert [got[i] for i in range(40)] == [f"story {i}" for i in range(40)]
     assert all(got[100 + 10 * h + i] == f"story {i}" for h in range(8) for i in range(4))
     assert all(got[200 + i] == f"story {i}" for i in range(30)) and got[230] == ""
-    assert got[300] == "Our motto story 0"  # three pages and copies of them make no template
+    assert got[300] == "story 0"  # three pages and copies of them: no constants, but the slot that varies
+
+
+BARE = """<body><div><ul><li><a href=/a>{a}</a><li><a href=/b>{b}</a></ul></div><div>{ad}</div><div><h1>{title}</h1><p>{text}</div><div>&copy; {end}</div>"""
+
+
+def test_html_wrapper_decides_where_no_mark_does(spark):
+    rng = random.Random(3)
+
+    def words(n):
+        return " ".join(rng.choice(("lorem", "dolor", "amet", "sit")) + str(rng.randrange(999)) for _ in range(n))
+
+    rows, want = [], {}
+    for i in range(24):  # on every third page the advert is longer than the article
+        title, text = words(2), words(3 if i % 3 == 0 else 60)
+        rows.append((i, "http://bare.example/", BARE.format(a=words(2), b=words(2), ad=words(25), title=title, text=text, end=words(4))))
+        want[i] = f"{title} {text}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == want
+    alone = {i: html.main_text(html.parse(h)) for i, _, h in rows}
+    assert sum(alone[i] != want[i] for i in want) >= 8  # a page by itself does not tell
+    assert all(html.main_text(html.parse(h)).find(want[i][:5]) >= 0 for i, _, h in rows if i % 3)
+
+
+def test_html_alignment_is_simple_tree_matching():
+    rng = random.Random(5)
+
+    def tree(n):
+        parents = [-1] + [rng.randrange(max(0, i - 4), i) for i in range(1, n)]
+        tags = ["#root"] + [rng.choice(("div", "section")) for _ in range(1, n)]
+        order = sorted(range(n), key=lambda i: i)
+        slots = [html.Slot(tags[i], rng.randrange(3), parents[i]) for i in order]
+        for i in range(1, n):
+            slots[parents[i]].children.append(i)
+        return html._finish(slots)
+
+    def weight(a, b, i, j):  # all order-preserving choices of children
+        if a[i].tag != b[j].tag:
+            return 0
+
+        def best(p, q):
+            if not p or not q:
+                return 0
+            return max(best(p[1:], q), *(weight(a, b, p[0], q[k]) + best(p[1:], q[k + 1 :]) for k in range(len(q))))
+
+        return 1 + (a[i].label == b[j].label) + best(a[i].children, b[j].children)
+
+    for _ in range(60):
+        a, b = tree(rng.randint(1, 9)), tree(rng.randint(1, 9))
+        met = html.align(a, b)
+        assert sum(1 + (a[i].label == b[j].label) for i, j in met.items()) == weight(a, b, 0, 0)
+        assert all(a[i].tag == b[j].tag and (i == 0 or met[a[i].parent] == b[j].parent) for i, j in met.items())
+        assert html.load(html.dump(a))[-1].parent == a[-1].parent
+
+
+def test_html_time_is_linear_in_bad_markup():
+    import time
+
+    began = time.time()
+    html.main_text(html.parse("<div>" * 90_000 + "</x>" * 90_000 + "<h1>" * 20_000))
+    assert time.time() - began < 20  # a second or two; a walk to the root for each tag takes an hour
+
+
+def test_html_repeated_article_is_no_template(spark):
+    rows = [(i, "http://same.example/", f"<body><div class=menu>m{i}</div><div><h1>One title</h1><p>{'the same text ' * 9}<p>n{i}</div>") for i in range(9)]
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"One title {('the same text ' * 9).strip()} n{r.page_id}"
 
 
 def plain_statistics(text):
