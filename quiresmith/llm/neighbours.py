@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 from quiresmith.llm.common import Shelf, hash01
 from quiresmith.llm.graph import components
 
-#: Neighbours that each vector keeps, and reverse neighbours that a round looks at.
-NEIGHBOURS, REVERSE = 10, 6
-#: Trees of random hyperplanes that the first graph is made from, and vectors aimed at in a cell.
-TREES, CELL = 4, 96
-#: Rounds at most before an audit (they end when they stop improving), and forests before the exact search.
+#: Neighbours that each vector keeps, neighbours up to which a saturated list is enlarged, and reverse
+#: neighbours that a round looks at.
+NEIGHBOURS, MOST_NEIGHBOURS, REVERSE = 10, 40, 6
+#: Trees of random hyperplanes that the first graph is made from, and vectors aimed at in a cell. Two at
+#: least: the cells of one tree are closed, and rounds of neighbours-of-neighbours could never leave them.
+TREES, CELL = 2, 48
+#: Rounds at most before lists are enlarged or audited (they end when they stop improving), and forests
+#: before the exact search.
 ROUNDS, ATTEMPTS = 8, 3
 #: Audited vectors of each kind, those without a link that one audit holds at most, and the recall at
 #: which an attempt is accepted.
 AUDITED, AUDITED_MOST, RECALL = 256, 8192, 0.97
-#: Vectors of a tile, and of a tile of the exact search.
-BLOCK, EXACT_BLOCK = 1024, 8192
-#: Components up to this size are completed whether or not a list in them is saturated.
-SMALL = 256
+#: Vectors of a tile, of a tile of the exact search, and rows that a tile is compared in.
+BLOCK, EXACT_BLOCK, STEP = 4096, 8192, 1024
 _SLACK = 1e-12  # sums of doubles in another order
+_ANGLE = 1e-6  # angles from the arc cosine of doubles
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -122,16 +124,31 @@ def _forest(vectors: DataFrame, n: int, seed: int, k: int, shelf: Shelf) -> Data
     return dealt.mapInArrow(run, _EDGES)
 
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
+def _top(edges: DataFrame, k: int, lists: DataFrame | None = None) -> DataFrame:
+    """The best edges of each vector: k, or as many as ``lists`` (id, size) grants it."""
     from pyspark.sql.window import Window
 
     edges = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return edges.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    if lists is None:
+        return edges.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    edges = edges.withColumn("rank", rank).where(F.col("rank") <= MOST_NEIGHBOURS)
+    edges = edges.join(lists.withColumnRenamed("id", "u"), "u", "left").where(F.col("rank") <= F.coalesce("size", F.lit(k)))
+    return edges.select("u", "v", "sim")
+
+
+def _worst(graph: DataFrame, k: int, lists: DataFrame | None) -> DataFrame:
+    """(id, worst, full): what a neighbour must beat to enter a list, and whether the list is full."""
+    held = graph.groupBy(F.col("u").alias("id")).agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
+    if lists is None:
+        held = held.withColumn("size", F.lit(k))
+    else:
+        held = held.join(lists, "id", "left").withColumn("size", F.coalesce("size", F.lit(k)))
+    return held.select("id", F.when(F.col("n") >= F.col("size"), F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"), (F.col("n") >= F.col("size")).alias("full"))
 
 
-def _descend(vectors: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """Edges by which a round of neighbours-of-neighbours improves the graph.
+def _descend(vectors: DataFrame, graph: DataFrame, k: int, lists: DataFrame | None = None, centers: DataFrame | None = None) -> DataFrame:
+    """Edges by which a round of neighbours-of-neighbours improves the graph, around ``centers`` (id) if given.
 
     Around every vector its neighbours and a bounded number of its reverse neighbours (the best of
     each of REVERSE slots) are compared with each other; pairs that beat the worst neighbour of
@@ -140,8 +157,9 @@ def _descend(vectors: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     slot = F.pmod(F.xxhash64("u"), F.lit(REVERSE))
     back = graph.groupBy(F.col("v").alias("g"), slot.alias("slot")).agg(F.max(F.struct("sim", "u")).alias("x")).select("g", F.col("x.u").alias("id"))
     around = graph.select(F.col("u").alias("g"), F.col("v").alias("id")).unionByName(back).distinct()
-    worst = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n")).select(F.col("u").alias("id"), F.when(F.col("n") >= k, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"))
-    carried = vectors.select("id", "vector").join(worst, "id", "left")
+    if centers is not None:
+        around = around.join(centers.select(F.col("id").alias("g")), "g", "left_semi")
+    carried = vectors.select("id", "vector").join(_worst(graph, k, lists).select("id", "worst"), "id", "left")
     rows = around.join(carried, "id").select("g", "id", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "vector")
     rows = rows.repartition("g").sortWithinPartitions("g")
 
@@ -168,19 +186,56 @@ def _descend(vectors: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, _EDGES)
 
 
-def _pairs(tiles: DataFrame) -> DataFrame:
-    """(a, b), a <= b: pairs of tiles (tile, dim, center, radius) that may hold a link between them.
+def neighbour_graph(
+    vectors: DataFrame, n: int, threshold: float, k: int, shelf: Shelf, seed: int = 0, rounds: int | None = None, before: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """((u, v, sim), (id)): NN-descent's graph, and the vectors whose lists are still saturated.
 
-    ``radius`` is the largest angle between the center and a vector of the tile plus half the angle of
-    the threshold, so vectors of two tiles can only link if their centers are no farther apart than
-    both radii together. Centers are compared in blocks, each pair of blocks in a task of its own.
+    The first graph comes from cells of random hyperplanes, joined with ``before``. Rounds of
+    neighbours-of-neighbours improve it until they hardly do. A list that holds nothing but links is
+    saturated: it is enlarged to twice its size and rounds around such vectors follow, until none is
+    saturated or lists hold MOST_NEIGHBOURS.
+    """
+    rounds = ROUNDS if rounds is None else rounds
+    edges = _forest(vectors, n, seed, k, shelf)
+    graph = shelf.put(_top(edges if before is None else edges.unionByName(before), k))
+    lists, centers, active, size = None, None, n, k
+    while True:
+        for _ in range(rounds):
+            better = shelf.put(_descend(vectors, graph, size if lists is None else k, lists, centers))
+            moved = better.count()
+            after = shelf.put(_top(graph.unionByName(better), k, lists))
+            shelf.drop(better)
+            shelf.drop(graph)
+            graph = after
+            if moved < 0.02 * size * active:
+                break
+        full = shelf.put(_worst(graph, k, lists).where(F.col("full") & (F.col("worst") >= threshold)).select("id"))
+        active = full.count()
+        if size >= MOST_NEIGHBOURS or not active or not rounds:
+            return graph, full
+        size = min(2 * size, MOST_NEIGHBOURS)
+        grown = full.withColumn("size", F.lit(size))
+        lists = shelf.put(grown if lists is None else grown.unionByName(lists.join(full, "id", "left_anti")))
+        centers = full
+
+
+def _pairs(tiles: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, sure), a <= b: pairs of tiles (tile, scope, center, radius) of one scope that may hold a
+    link between them; sure: all of their vectors link.
+
+    ``radius`` is the largest angle between the center and a vector of the tile. Two vectors are no
+    farther apart than their centers and both radii together, and no nearer than that between the
+    centers less both radii; what this leaves open is to be compared. Centers are compared in blocks,
+    each pair of blocks in a task of its own.
     """
-    sizes = tiles.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    rows = tiles.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("tile"), F.col("blocks")).cast("int"))
+    limit = math.acos(max(-1.0, min(1.0, threshold)))
+    sizes = tiles.groupBy("scope").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / STEP)).cast("int").alias("blocks"))
+    rows = tiles.join(sizes, "scope").withColumn("block", F.pmod(F.xxhash64("tile"), F.col("blocks")).cast("int"))
     mate = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("dim", "block", mate.alias("mate"), "tile", "center", "radius")
-    rows = rows.select("dim", F.least("block", "mate").alias("a"), F.greatest("block", "mate").alias("b"), "block", "tile", "radius", "center")
-    rows = rows.repartition("dim", "a", "b").sortWithinPartitions("dim", "a", "b")
+    rows = rows.select("scope", "block", mate.alias("mate"), "tile", "center", "radius")
+    rows = rows.select("scope", F.least("block", "mate").alias("a"), F.greatest("block", "mate").alias("b"), "block", "tile", "radius", "center")
+    rows = rows.repartition("scope", "a", "b").sortWithinPartitions("scope", "a", "b")
 
     def run(batches):
         for g in _groups(batches, 3):
@@ -189,21 +244,25 @@ def _pairs(tiles: DataFrame) -> DataFrame:
             a, b = g.column("a")[0].as_py(), g.column("b")[0].as_py()
             left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
             angle = np.arccos(np.clip(x[left] @ x[right].T, -1, 1))
-            i, j = np.nonzero(angle <= radius[left][:, None] + radius[right][None, :])
+            if a == b:
+                np.fill_diagonal(angle, 0.0)
+            both = radius[left][:, None] + radius[right][None, :]
+            i, j = np.nonzero(angle - both <= limit + _ANGLE)
+            sure = (angle + both)[i, j] <= limit - _ANGLE
             u, v = tile[left[i]], tile[right[j]]
             if a == b:
-                u, v = u[u <= v], v[u <= v]
+                once = u <= v
+                u, v, sure = u[once], v[once], sure[once]
             for at in range(0, len(u), 100_000):
                 p, q = u[at : at + 100_000], v[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(sure[at : at + 100_000])], names=["a", "b", "sure"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, sure boolean")
 
 
-def _tiles(vectors: DataFrame, dealt: DataFrame, threshold: float) -> DataFrame:
-    """(tile, dim, center, radius) of the tiles that ``dealt`` (id, tile) puts vectors in; see _pairs."""
-    half = math.acos(max(-1.0, min(1.0, threshold))) / 2
-    rows = dealt.select("id", "tile").join(vectors.select("id", "vector"), "id").select("tile", "vector")
+def _tiles(vectors: DataFrame, dealt: DataFrame) -> DataFrame:
+    """(tile, scope, center, radius) of the tiles that ``dealt`` (id, tile, scope) puts vectors in."""
+    rows = dealt.select("id", "tile", "scope").join(vectors.select("id", "vector"), "id").select("tile", "scope", "vector")
     rows = rows.repartition("tile").sortWithinPartitions("tile")
 
     def run(batches):
@@ -212,13 +271,13 @@ def _tiles(vectors: DataFrame, dealt: DataFrame, threshold: float) -> DataFrame:
             center = x.mean(axis=0)
             size = np.sqrt(center @ center)
             center = center / size if size > 1e-9 else x[0]
-            radius = float(np.arccos(np.clip(x @ center, -1, 1)).max()) + half + 1e-6
+            radius = float(np.arccos(np.clip(x @ center, -1, 1)).max()) if len(x) > 1 else 0.0
             yield pa.RecordBatch.from_arrays(
-                [g.column("tile").combine_chunks()[:1], pa.array([x.shape[1]], pa.int32()), pa.array([center.tolist()], pa.list_(pa.float64())), pa.array([radius])],
-                names=["tile", "dim", "center", "radius"],
+                [g.column("tile").combine_chunks()[:1], g.column("scope").combine_chunks()[:1], pa.array([center.tolist()], pa.list_(pa.float64())), pa.array([radius])],
+                names=["tile", "scope", "center", "radius"],
             )
 
-    return rows.mapInArrow(run, "tile long, dim int, center array<double>, radius double")
+    return rows.mapInArrow(run, "tile long, scope long, center array<double>, radius double")
 
 
 def _joined(near: np.ndarray) -> np.ndarray:
@@ -242,10 +301,19 @@ def _joined(near: np.ndarray) -> np.ndarray:
 def _compare(vectors: DataFrame, dealt: DataFrame, pairs: DataFrame, threshold: float, shelf: Shelf) -> DataFrame:
     """(id, root, n, other): every pair of tiles compared vector by vector, each in a task of its own.
 
-    ``dealt`` holds (id, root, tile), ``pairs`` holds (a, b). A row tells the weight of those that link
-    to a vector in one pair of tiles, and the root of one of those it hangs with there; the pairs of
-    vectors themselves never leave the task.
+    ``dealt`` holds (id, root, tile), ``pairs`` holds (a, b, sure). A row tells the weight of those that
+    link to a vector in one pair of tiles, and the root of one of those it hangs with there; the pairs
+    of vectors themselves never leave the task. Sure pairs are counted by the weights of their tiles:
+    no vector of theirs moves.
     """
+    whole = dealt.join(vectors.select("id", "weight"), "id")
+    tiles = shelf.put(whole.groupBy("tile").agg(F.sum("weight").alias("all"), F.min("root").alias("tile_root")))
+    sure = pairs.where("sure").select("a", "b")
+    sure = sure.unionByName(sure.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sure = sure.join(tiles.select(F.col("tile").alias("b"), "all", "tile_root"), "b")
+    sure = sure.groupBy(F.col("a").alias("tile")).agg(F.sum("all").alias("all"), F.max((F.col("a") == F.col("b")).cast("int")).alias("self"), F.min("tile_root").alias("other"))
+    counted = whole.join(sure, "tile").select("id", "root", (F.col("all") - F.col("self") * F.col("weight")).alias("n"), "other")
+    pairs = pairs.where("NOT sure").select("a", "b")
     side = pairs.select("a", "b", F.col("a").alias("tile")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("tile")))
     rows = dealt.join(vectors.select("id", "vector", "weight"), "id").join(side, "tile").select("a", "b", "tile", "id", "root", "weight", "vector")
     rows = rows.repartition("a", "b").sortWithinPartitions("a", "b")
@@ -257,13 +325,13 @@ def _compare(vectors: DataFrame, dealt: DataFrame, pairs: DataFrame, threshold:
             a, b = g.column("a")[0].as_py(), g.column("b")[0].as_py()
             left, right = np.flatnonzero(tile == a), np.flatnonzero(tile == b)
             near = np.empty((len(left), len(right)), bool)
-            for at in range(0, len(left), BLOCK):
-                near[at : at + BLOCK] = x[left[at : at + BLOCK]] @ x[right].T >= threshold
+            for at in range(0, len(left), STEP):
+                near[at : at + STEP] = x[left[at : at + STEP]] @ x[right].T >= threshold
             if a == b:
                 np.fill_diagonal(near, False)
             n = np.zeros(len(ids))
-            for at in range(0, len(left), BLOCK):
-                part, i = near[at : at + BLOCK], left[at : at + BLOCK]
+            for at in range(0, len(left), STEP):
+                part, i = near[at : at + STEP], left[at : at + STEP]
                 if part.any():
                     part = part.astype(np.float64)
                     n[i] += part @ weight[right]
@@ -280,7 +348,7 @@ def _compare(vectors: DataFrame, dealt: DataFrame, pairs: DataFrame, threshold:
             hit, to, n = hit[keep], to[keep], n[keep]
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(roots[hit]), pa.array(n), pa.array(roots[to])], names=["id", "root", "n", "other"])
 
-    return shelf.put(rows.mapInArrow(run, "id long, root long, n long, other long"))
+    return shelf.put(rows.mapInArrow(run, "id long, root long, n long, other long").unionByName(counted))
 
 
 def _merged(roots: DataFrame, found: DataFrame, shelf: Shelf) -> DataFrame:
@@ -293,25 +361,25 @@ def _merged(roots: DataFrame, found: DataFrame, shelf: Shelf) -> DataFrame:
 def _exact(vectors: DataFrame, n: int, threshold: float, shelf: Shelf) -> tuple[DataFrame, DataFrame]:
     """(counts, roots) of all vectors, each compared with every other that tiles do not rule out."""
     tile = F.xxhash64(F.size("vector"), F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / EXACT_BLOCK)))))
-    dealt = shelf.put(vectors.select("id", F.col("id").alias("root"), tile.alias("tile")))
-    found = _compare(vectors, dealt, _pairs(_tiles(vectors, dealt, threshold)), threshold, shelf)
+    dealt = shelf.put(vectors.select("id", F.col("id").alias("root"), tile.alias("tile"), (-F.size("vector")).cast("long").alias("scope")))
+    found = _compare(vectors, dealt, shelf.put(_pairs(_tiles(vectors, dealt), threshold)), threshold, shelf)
     counts = shelf.put(found.groupBy("id").agg(F.sum("n").alias("n")))
     linked = components(found.select("root", "other"), "root", "other", shelf)
     return counts, linked
 
 
-def _audit(vectors: DataFrame, counts: DataFrame, roots: DataFrame, n: int, threshold: float) -> dict:
+def _audit(vectors: DataFrame, counts: DataFrame, full: DataFrame, n: int, threshold: float) -> dict:
     """Recall of links by vector, of random vectors held against all rows, each kind apart.
 
-    The kinds are vectors of small components, of large ones, and those for which no link was found.
+    The kinds are vectors of components without a saturated list, of those with one (``full``, id), and
+    vectors for which no link was found.
     Of the last as many are held as it takes to tell that those which have links after all are too
     few to matter beside the vectors with links; where that is more than AUDITED_MOST, ``held`` is
     False and nothing was compared.
     """
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    known = counts.where("n > 0").join(roots.join(sizes, "root"), "id", "left")
-    kinds = vectors.select("id", "vector").join(known.select("id", "n", "size"), "id", "left")
-    kind = F.when(F.col("n").isNull(), 0).when(F.coalesce("size", F.lit(0)) <= SMALL, 1).otherwise(2)
+    known = counts.where("n > 0").join(full.select("id").withColumn("full", F.lit(True)), "id", "left")
+    kinds = vectors.select("id", "vector").join(known.select("id", "n", "full"), "id", "left")
+    kind = F.when(F.col("n").isNull(), 0).when(F.col("full"), 2).otherwise(1)
     kinds = kinds.withColumn("kind", kind)
     many = {r.kind: r["count"] for r in kinds.groupBy("kind").count().collect()}
     alone, linked = many.get(0, 0), many.get(1, 0) + many.get(2, 0)
@@ -337,12 +405,12 @@ def _audit(vectors: DataFrame, counts: DataFrame, roots: DataFrame, n: int, thre
                     continue
                 x = _unit(_matrix(b.column(2).take(pa.array(rows))))
                 own, weight = b.column(0).to_numpy()[rows], b.column(1).to_numpy()[rows]
-                for at in range(0, len(ids), BLOCK):
-                    near = q[at : at + BLOCK] @ x.T >= threshold
-                    near &= ids[at : at + BLOCK, None] != own[None, :]
+                for at in range(0, len(ids), STEP):
+                    near = q[at : at + STEP] @ x.T >= threshold
+                    near &= ids[at : at + STEP, None] != own[None, :]
                     there = near @ weight
                     hit = there > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + BLOCK][hit]), pa.array(there[hit])], names=["id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + STEP][hit]), pa.array(there[hit])], names=["id", "n"])
 
     true = vectors.select("id", "weight", "vector").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("there"))
     there = {r.id: r.there for r in true.collect()}
@@ -359,29 +427,61 @@ def _audit(vectors: DataFrame, counts: DataFrame, roots: DataFrame, n: int, thre
     return out
 
 
+def _rounds(vectors: DataFrame, n: int, threshold: float, k: int, shelf: Shelf, report: Callable[[dict], None] | None) -> tuple[DataFrame | None, DataFrame | None, float]:
+    """(counts (id, n), roots (id, root), recall) of distinct vectors (id, vector, weight)."""
+    graph = None
+    for attempt in range(ATTEMPTS if n > 1 else 0):
+        graph, full = neighbour_graph(vectors, n, threshold, k, shelf, attempt, before=graph)
+        near = shelf.put(graph.where(F.col("sim") >= threshold))
+        roots = shelf.put(components(near, "u", "v", shelf))
+        # components are compared inside; those with a saturated list also with each other
+        crowded = full.join(roots, "id").select("root").distinct().withColumn("crowded", F.lit(True))
+        sizes = roots.groupBy("root").agg(F.count("*").alias("size")).join(crowded, "root", "left")
+        tile = F.xxhash64("root", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK))))
+        scope = F.when(F.col("crowded"), -F.col("dim")).otherwise(F.col("root"))
+        dims = vectors.select("id", F.size("vector").cast("long").alias("dim"))
+        dealt = shelf.put(roots.join(sizes, "root").join(dims, "id").select("id", "root", "crowded", tile.alias("tile"), scope.alias("scope")))
+        pairs = shelf.put(_pairs(_tiles(vectors, dealt), threshold))
+        done = _compare(vectors, dealt.select("id", "root", "tile"), pairs, threshold, shelf)
+        counts = shelf.put(done.groupBy("id").agg(F.sum("n").alias("n")))
+        audit = _audit(vectors, counts, dealt.where("crowded"), n, threshold)
+        if report:
+            report({"attempt": attempt, **audit})
+        if audit["recall"] >= RECALL:
+            return counts, _merged(roots, done, shelf), audit["recall"]
+        if not audit["held"]:
+            break
+    if n < 2:
+        return None, None, 1.0
+    if report:
+        report({"attempt": "exact", "vectors": n, "recall": 1.0})
+    return *_exact(vectors, n, threshold, shelf), 1.0
+
+
 def near_duplicates(
     table: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding",
     k: int = NEIGHBOURS, report: Callable[[dict], None] | None = None,
 ) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of ``table``.
+    """(vec_id, n_links, component_id, kept, recall) for every row of ``table``.
 
     Vectors link at a cosine of at least ``threshold``, in double precision; n_links counts the other
     vectors linked directly, component_id is the smallest vec_id that links reach, kept tells whether
-    that is the vector itself.
+    that is the vector itself, recall is what the audit measured (the same in all rows).
 
     Equal vectors form one class and are never paired. Classes get a first neighbour graph from cells
-    of random hyperplanes, which rounds of NN-descent refine. Edges of at least the threshold make
-    components; where a neighbour list holds nothing but links it is saturated, and the vectors of that
-    component are compared with each other and with those of all components with saturated lists,
-    save where centers and radii rule a link out. Random vectors are then held against all rows, see
-    _audit: below a recall of RECALL another forest is added, and after ATTEMPTS, or where so few
-    vectors have links that an audit cannot tell, all vectors are compared tile by tile, whose cost
-    is the square of their number. ``report`` gets the recall of each attempt.
+    of random hyperplanes, which rounds of NN-descent refine; saturated lists are enlarged step by
+    step, see ``neighbour_graph``. Edges of at least the threshold make components, of whatever size.
+    The vectors of each are then compared tile by tile, so that n_links counts all links inside, and
+    components with lists saturated to the end also with each other, save where centers and radii rule
+    a link out or prove that all link. Random vectors are held against all rows, see ``_audit``: below
+    a recall of RECALL another forest is added, and after ATTEMPTS, or where so few vectors have links
+    that an audit cannot tell, all vectors are compared tile by tile, whose cost is the square of
+    their number; a recall below RECALL is never returned. ``report`` gets the recall of each attempt.
 
     Vectors that are null, zero, empty, or hold null or non-finite components link with nothing, nor
     do rows with a null id (component_id null, kept false). Vectors of different lengths never link.
-    Repeated rows count as copies of each other. Other columns are ignored, whatever their names. An
-    empty table gives an empty result.
+    Repeated rows count as copies of each other; an id that stands for several vectors ties their
+    components. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     shelf = Shelf(table.sparkSession, "neighbours")
     kind = "float" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
@@ -390,59 +490,29 @@ def near_duplicates(
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite, F.lit(False))
     rows = shelf.put(rows.withColumn("vector", F.when(usable, F.transform("vector", lambda x: x + F.lit(0.0).cast(kind)))))
-    vectors = rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    classes = shelf.put(vectors)
-    # rows that repeat an id with another vector would make two classes of one id
-    vectors = shelf.put(classes.groupBy("id").agg(F.min("vector").alias("vector"), F.max("weight").alias("weight")))
+    vectors = rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    # written before and after: the numbers must not change when a task is run again
+    vectors = shelf.put(shelf.put(vectors).withColumn("id", F.monotonically_increasing_id()))
+    ids = shelf.put(rows.join(vectors.select("vector", "id"), "vector", "left").select("vec_id", "id"))
     n = vectors.count()
-    graph, counts, roots = None, None, None
-    for attempt in range(ATTEMPTS if n > 1 else 0):
-        edges = _forest(vectors, n, attempt, k, shelf)
-        graph = shelf.put(_top(edges if graph is None else edges.unionByName(graph), k))
-        for _ in range(ROUNDS):
-            better = shelf.put(_descend(vectors, graph, k))
-            moved = better.count()
-            after = shelf.put(_top(graph.unionByName(better), k))
-            shelf.drop(better)
-            shelf.drop(graph)
-            graph = after
-            if moved < 0.02 * k * n:
-                break
-        near = shelf.put(graph.where(F.col("sim") >= threshold))
-        roots = shelf.put(components(near, "u", "v", shelf))
-        sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-        full = near.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= k).join(roots, F.col("u") == F.col("id")).select("root").distinct()
-        whole = sizes.join(full.withColumn("full", F.lit(True)), "root", "left").where(F.col("full") | (F.col("size") <= SMALL))
-        blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK))
-        tile = F.xxhash64("root", F.pmod(F.xxhash64("id"), blocks))
-        dealt = shelf.put(roots.join(whole, "root").select("id", "root", "full", tile.alias("tile")))
-        pairs = _pairs(_tiles(vectors, dealt.where("full"), threshold))
-        pairs = shelf.put(pairs.unionByName(dealt.where("full IS NULL").select(F.col("tile").alias("a"), F.col("tile").alias("b")).distinct()))
-        done = _compare(vectors, dealt.select("id", "root", "tile"), pairs, threshold, shelf)
-        both = near.select("u", "v").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-        listed = both.join(roots.join(whole.select("root"), "root", "left_anti").select(F.col("id").alias("u")), "u")
-        listed = listed.join(vectors.select(F.col("id").alias("v"), "weight"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("n"))
-        counts = shelf.put(done.groupBy("id").agg(F.sum("n").alias("n")).unionByName(listed))
-        roots = _merged(roots, done, shelf)
-        audit = _audit(vectors, counts, roots, n, threshold)
-        if report:
-            report({"attempt": attempt, **audit})
-        if audit["recall"] >= RECALL:
-            break
-        if not audit["held"] or attempt == ATTEMPTS - 1:
-            counts, roots = _exact(vectors, n, threshold, shelf)
-            if report:
-                report({"attempt": "exact", "vectors": n, "recall": 1.0})
-            break
-    known = classes.select("vector", "id", "weight")
+    counts, roots, recall = _rounds(vectors, n, threshold, k, shelf, report)
+    known = vectors.select("id", "least", "weight")
     if counts is not None:
+        own = ids.where("id IS NOT NULL").distinct()
+        first = own.groupBy("vec_id").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+        tied = shelf.put(own.join(first.select("vec_id", "first"), "vec_id").where("id <> first").select("id", "first"))
+        if not tied.isEmpty():
+            both = roots.select("id", F.col("root").alias("first")).unionByName(tied)
+            roots = shelf.put(components(both, "id", "first", shelf))
         known = known.join(counts, "id", "left").join(roots, "id", "left")
     else:
         known = known.withColumns({"n": F.lit(None).cast("long"), "root": F.lit(None).cast("long")})
-    known = known.select("vector", "id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    out = rows.join(known, "vector", "left")
+    known = shelf.put(known.withColumn("root", F.coalesce("root", "id")))
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = known.join(least, "root").select("id", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    out = ids.join(known, "id", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.lit(recall).alias("recall"),
     )

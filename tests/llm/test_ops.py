@@ -135,26 +135,33 @@ def test_neighbours_against_brute_force(spark):
     np.fill_diagonal(true, False)
     links = np.array([got[r[0]].n_links for r in rows])
     assert (links <= true.sum(axis=1)).all() and links.sum() >= 0.98 * true.sum()
+    reach = closure(true)
+    parts = [got[r[0]].component_id // 3 for r in rows]
+    assert all(reach[p] == reach[i] for i, p in enumerate(parts))  # nothing is joined that links do not join
+    assert sum(p == q for p, q in zip(parts, reach, strict=True)) >= 0.98 * len(rows)
     for i in range(1000, 1007):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
-    for i, r in enumerate(rows):
+    for r in rows:
         assert got[r[0]].kept == (got[r[0]].component_id == r[0]) and got[r[0]].component_id <= r[0]
-        assert all(got[rows[j][0]].component_id == got[r[0]].component_id for j in np.flatnonzero(true[i])) or links.sum() < true.sum()
     assert neighbours.near_duplicates(df.limit(0)).collect() == []
 
 
+def closure(true):
+    reach = np.arange(len(true))
+    while True:
+        after = np.minimum(reach, np.where(true, reach, len(true)).min(axis=1))
+        if (after == reach).all():
+            return reach
+        reach = after
+
+
 def linked(df, x, **options):
     got = {r.vec_id: r for r in neighbours.near_duplicates(df, **options).collect()}
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     true = y @ y.T >= 0.95
     np.fill_diagonal(true, False)
-    reach = np.arange(len(x))
-    for _ in range(len(x)):
-        after = np.minimum(reach, np.where(true, reach, len(x)).min(axis=1))
-        if (after == reach).all():
-            break
-        reach = after
+    reach = closure(true)
     assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == list(zip(true.sum(axis=1).tolist(), reach.tolist(), strict=True))
     return true
 
@@ -177,11 +184,54 @@ def test_neighbours_fall_to_the_exact_search(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_forest", lambda vectors, *rest: vectors.selectExpr("id AS u", "id AS v", "0D AS sim").limit(0))
     found = []
     monkeypatch.setattr(neighbours, "ATTEMPTS", 1)
-    monkeypatch.setattr(neighbours, "EXACT_BLOCK", 64, raising=False)
+    monkeypatch.setattr(neighbours, "EXACT_BLOCK", 64)
+    monkeypatch.setattr(neighbours, "ROUNDS", 0)
     assert linked(df, x, report=found.append).any()
     assert found[-1]["attempt"] == "exact"
 
 
+def test_neighbours_come_from_descent(spark):
+    from quiresmith.llm.common import Shelf
+
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((1500, 24))
+    mate = base[:500] + rng.standard_normal((500, 24)) * 0.27
+    x = np.concatenate([base, mate]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, vector array<float>, weight long")
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    true = {(i, j) for i, j in zip(*np.nonzero(y @ y.T >= 0.95), strict=True) if i < j}
+
+    def recall(rounds):
+        shelf = Shelf(spark, "test")
+        graph, _ = neighbours.neighbour_graph(df, len(x), 0.95, 10, shelf, rounds=rounds)
+        found = {(min(r.u, r.v), max(r.u, r.v)) for r in graph.where("sim >= 0.95").collect()}
+        assert found <= true
+        return len(found) / len(true)
+
+    before, after = recall(0), recall(None)
+    assert len(true) > 300 and before < 0.9 and after > 0.95 and 1 - after < (1 - before) / 2
+
+
+def test_neighbours_enlarge_saturated_lists(spark):
+    from quiresmith.llm.common import Shelf
+
+    rng = np.random.default_rng(12)
+    groups = [c + rng.standard_normal((m, 16)) * 0.02 for c, m in ((np.eye(16)[0], 25), (np.eye(16)[3], 70))]
+    x = np.concatenate([*groups, rng.standard_normal((100, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "id long, vector array<float>, weight long")
+    graph, full = neighbours.neighbour_graph(df, len(x), 0.95, 10, Shelf(spark, "test"))
+    degree = {r.u: r["count"] for r in graph.where("sim >= 0.95").groupBy("u").count().collect()}
+    assert all(degree[i] == 24 for i in range(25)) and all(degree[i] == 40 for i in range(25, 95))
+    assert {r.id for r in full.collect()} == set(range(25, 95))
+
+
+def test_neighbours_repeated_id_with_other_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]
+    rows = [(7, a), (7, b), (3, c), (9, a), (5, [0.0, 0.0, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(3, 1, 3), (5, 0, 5), (7, 1, 3), (7, 1, 3), (9, 1, 3)]
+
+
 def test_unigram_counts_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
