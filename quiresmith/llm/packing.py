@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiresmith.llm.common import bound_batches, chunks
+from quiresmith.llm.common import Shelf, bound_batches, chunks
 from quiresmith.llm.tokens import Encoder
 
 SEQUENCE = 1024
@@ -19,6 +19,8 @@ SEQUENCE = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens packed together at least: a window holds about so many, and one document more.
 WINDOW_TOKENS = 1_500_000
+#: Partitions whose last tokens, less than a sequence of each, are packed together.
+TOGETHER = 512
 _END = np.zeros(1, "<u4").tobytes()
 
 
@@ -95,7 +97,7 @@ class _Packer:
         self.waiting.append((key, ids, start, total))
         self.tokens += len(ids) // 4
 
-    def pack(self, last: bool = False) -> Iterator[tuple]:
+    def pack(self) -> Iterator[tuple]:
         pieces = assign([len(ids) // 4 for _, ids, _, _ in self.waiting], self.size)
         full: dict[int, list] = {}
         over = []
@@ -106,21 +108,22 @@ class _Packer:
         for k in sorted(full):
             yield from self._emit(full[k])
         self.waiting, self.tokens = over, sum(len(p[1]) // 4 for p in over)
-        if last and over:
-            # sequences at a power of two need no padding, so the rest is cut into such
-            sizes = powers_of_two(self.tokens)
-            queue = list(reversed(over))
-            for size in sizes:
-                parts, room = [], size
-                while room:
-                    key, ids, start, total = queue.pop()
-                    n = min(room, len(ids) // 4)
-                    parts.append((key, ids[: 4 * n], start, total))
-                    if 4 * n < len(ids):
-                        queue.append((key, ids[4 * n :], start + n, total))
-                    room -= n
-                yield from self._emit(parts)
-            self.waiting, self.tokens = [], 0
+
+    def finish(self) -> Iterator[tuple]:
+        """What fills no sequence, cut into sequences at powers of two: they need no padding."""
+        yield from self.pack()
+        queue = list(reversed(self.waiting))
+        for size in powers_of_two(self.tokens):
+            parts, room = [], size
+            while room:
+                key, ids, start, total = queue.pop()
+                n = min(room, len(ids) // 4)
+                parts.append((key, ids[: 4 * n], start, total))
+                if 4 * n < len(ids):
+                    queue.append((key, ids[4 * n :], start + n, total))
+                room -= n
+            yield from self._emit(parts)
+        self.waiting, self.tokens = [], 0
 
     def _emit(self, parts: list[tuple]) -> Iterator[tuple]:
         offset = 0
@@ -137,42 +140,65 @@ def pack(
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]): one row per piece.
 
-    A document is its text's ids and a final 0. Narrow: each input partition packs its own
-    documents, window after window, and carries what fills no sequence on to the next; only the
-    last few sequences of a partition are shorter, each a power of two long, so that nothing is
-    padded. No document is shuffled, and a window's memory does not grow with the input.
+    A document is its text's ids (strings of added tokens in it are those tokens) and a final 0. Each
+    input partition packs its own documents, window after window, and carries what fills no sequence
+    on to the next; what a partition has left in the end, less than a sequence, is packed with that of
+    up to TOGETHER partitions. Only the last few sequences of these are shorter, each a power of two
+    long, so that nothing is padded. No document is shuffled but for those tokens, and a window's
+    memory does not grow with the input. Costs are balanced within a window.
 
     A null or empty text is the single id 0. Repeated rows and null ids are packed like any others;
     other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
+    shelf = Shelf(docs.sparkSession, "packing")
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
     fields = [kept.schema["doc_id"], *(T.StructField(n, t) for n, t in _OUT)]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     schema = T.StructType(fields)
+    # rows without a sequence are what a partition has left: their ids wait
+    first = T.StructType([*fields, T.StructField("waiting", T.BinaryType()), T.StructField("together", T.IntegerType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(schema)
+    arrow, arrow_first = to_arrow_schema(schema), to_arrow_schema(first)
+
+    def batch(pieces, kinds) -> pa.RecordBatch:
+        columns = list(zip(*pieces, strict=True)) or [[] for _ in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = Encoder(tokenizer_path)
-        packer = _Packer(TaskContext.get().partitionId(), size, with_ids)
-
-        def rows(pieces) -> pa.RecordBatch:
-            columns = list(zip(*pieces, strict=True)) or [[] for _ in arrow]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
-        for batch in batches:
-            for at, texts in chunks(batch.column(1)):
-                keys = batch.column(0).slice(at, len(texts)).to_pylist()
+        partition = TaskContext.get().partitionId()
+        packer = _Packer(partition, size, with_ids)
+        for b in batches:
+            for at, texts in chunks(b.column(1)):
+                keys = b.column(0).slice(at, len(texts)).to_pylist()
                 for key, ids in zip(keys, encoder.encode(texts), strict=True):
                     ids += _END
                     packer.add(key, ids, 0, len(ids) // 4)
                 if packer.tokens >= window:
-                    yield rows(packer.pack())
-        yield rows(packer.pack(last=True))
-
-    return kept.mapInArrow(run, schema)
+                    yield batch([(*p, None, None) for p in packer.pack()], arrow_first)
+        yield batch([(*p, None, None) for p in packer.pack()], arrow_first)
+        none = [None] * with_ids
+        yield batch([(key, start, len(ids) // 4, None, total, None, None, *none, ids, partition // TOGETHER) for key, ids, start, total in packer.waiting], arrow_first)
+
+    done = shelf.put(kept.mapInArrow(run, first))
+    left = done.where("waiting IS NOT NULL").select("together", "doc_id", "start", "waiting", "doc_tokens")
+    left = left.repartition("together").sortWithinPartitions("together", "doc_id", "start", F.xxhash64("waiting"))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, packer = None, None
+        for b in batches:
+            for together, key, start, ids, total in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if together != now:
+                    if packer:
+                        yield batch(packer.finish(), arrow)
+                    now, packer = together, _Packer((1 << 30) + together, size, with_ids)
+                packer.add(key, ids, start, total)
+        if packer:
+            yield batch(packer.finish(), arrow)
+
+    return done.where("waiting IS NULL").select(schema.names).unionByName(left.mapInArrow(rest, schema))

@@ -64,11 +64,32 @@ def ranks_of(path: str) -> dict[bytes, int] | None:
     return {bytes(alphabet[c] for c in t): i for t, i in vocabulary.items() if i <= last and all(c in alphabet for c in t)}
 
 
+def added_strings(path: str) -> list[str]:
+    return [t["content"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens") or [] if t["content"]]  # noqa: SIM115
+
+
+def added_tokens(path: str) -> tuple[re.Pattern, dict[str, bytes] | None] | None:
+    """A pattern that cuts texts at added tokens, and the id of each; None without any.
+
+    Ids are None where a token is matched in ways that the pattern does not follow (stripping, whole
+    words, normalised text): the tokenizer then takes texts that hold one whole.
+    """
+    model = json.load(open(path, encoding="utf-8"))  # noqa: SIM115
+    added = [t for t in model.get("added_tokens") or [] if t["content"]]
+    if not added:
+        return None
+    plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
+    plain = plain and (not model.get("normalizer") or not any(t.get("normalized") for t in added))
+    pattern = re.compile("(" + "|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))) + ")")
+    return pattern, {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added} if plain else None
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    Units of Latin text are encoded many at once by rank; all else, and every first unit of a text, by the
-    tokenizer itself.
+    Strings of added tokens in a text are those tokens, as the tokenizer has it: the text is cut at them
+    first. Units of Latin text are encoded many at once by rank; all else, and every first unit of a part,
+    by the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -78,8 +99,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._known: dict[str, bytes] = {}
+        self._added = added_tokens(path)
+        self._openers = added_strings(path)
         self._fast = None
         if ranks := ranks_of(path):
             import tiktoken
@@ -111,6 +133,32 @@ class Encoder:
         return [out[u] for u in units]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        if not self._added:
+            return self._encode_plain(texts)
+        pattern, ids = self._added
+        parts: list[str] = []
+        plan: list[int | list] = []  # the place of a text without added tokens, or its parts
+        for text in texts:
+            text = text or ""
+            cut = pattern.split(text) if any(c in text for c in self._openers) else [text]
+            if len(cut) == 1:
+                plan.append(len(parts))
+                parts.append(text)
+            elif ids is None:
+                plan.append([self._encode([text])[0]])
+            else:
+                whole: list = []
+                for i, part in enumerate(cut):
+                    if i % 2:
+                        whole.append(ids[part])
+                    elif part:
+                        whole.append(len(parts))
+                        parts.append(part)
+                plan.append(whole)
+        done = self._encode_plain(parts)
+        return [done[x] if isinstance(x, int) else b"".join(done[y] if isinstance(y, int) else y for y in x) for x in plan]
+
+    def _encode_plain(self, texts: Sequence[str | None]) -> list[bytes]:
         known = self._known
         if len(known) > MAX_UNITS:
             known.clear()
