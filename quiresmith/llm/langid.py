@@ -15,7 +15,7 @@ from quiresmith.llm.common import map_texts, sample_rows
 
 #: Labelled documents that the model is fitted on at most (a random sample of them, whole texts).
 MAX_TRAIN_DOCS = 20_000
-#: Languages that a model holds at most; rarer ones beyond are not learned.
+#: Languages that a model may hold; more are an error, for the model is held in every worker.
 MAX_LANGUAGES = 400
 #: Log-score that a change of language between two words costs.
 SWITCH_PENALTY = 8.0
@@ -64,14 +64,19 @@ class _Tables:
 
 
 def _pieces(text: str) -> list[str]:
-    """The text in parts of about _PIECE characters, cut at a blank where there is one."""
+    """The text in parts of about _PIECE characters, cut before a character that is no letter: never in a word."""
     out, at = [], 0
     while len(text) - at > _PIECE:
-        cut = text.rfind(" ", at, at + _PIECE)
-        cut = at + _PIECE if cut <= at else cut
+        cut = at + _PIECE
+        while cut > at and text[cut].isalpha():
+            cut -= 1
+        if cut == at:  # one word as long as a part: go on to its end
+            cut = at + _PIECE
+            while cut < len(text) and text[cut].isalpha():
+                cut += 1
         out.append(text[at:cut])
         at = cut
-    return [*out, text[at:]] if at else [text]
+    return [*out, text[at:]] if at < len(text) else out or [text]
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,10 +113,11 @@ class Model:
     allowed: np.ndarray  # [script, language]
     penalty: float
 
-    def word_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Score of each word in each language (0 for the best, else below), its letters, its text."""
+    def word_scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Score of each word in each language (0 for the best, else below), its letters, its text, and
+        whether a language is known that writes its script."""
         parts = [(i, p) for i, t in enumerate(texts) for p in _pieces(t)]
-        scores, letters, owner, group, size = [], [], [], [], 0
+        scores, letters, owner, known, group, size = [], [], [], [], [], 0
         for n, (i, p) in enumerate(parts):
             group.append((i, p))
             size += len(p)
@@ -124,14 +130,15 @@ class Model:
                 np.maximum(s, _FLOOR, out=s)
                 ok = self.allowed[script]
                 s = np.where(ok, s, 2 * _FLOOR).astype(np.float32)
-                s[~ok.any(axis=1)] = 0  # no language writes so: no evidence
+                known.append(ok.any(axis=1))
+                s[~known[-1]] = 0  # no language writes so: no evidence
                 scores.append(s)
                 letters.append(np.diff(np.append(first, len(bucket))))
                 owner.append(np.array([i for i, _ in group])[text])
             group, size = [], 0
         if not scores:
-            return np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(scores), np.concatenate(letters), np.concatenate(owner)
+            return np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.concatenate(scores), np.concatenate(letters), np.concatenate(owner), np.concatenate(known)
 
     def label(self, texts: list[str | None]) -> dict[str, list]:
         """Per text: its language, that language's share of the letters, and the labelled spans."""
@@ -140,19 +147,20 @@ class Model:
         out: dict[str, list] = {"lang_pred": ["und"] * n, "score": [0.0] * n, "spans": [[] for _ in range(n)]}
         if not self.langs:
             return out
-        s, letters, owner = self.word_scores(given)
+        s, letters, owner, known = self.word_scores(given)
         lengths = np.bincount(owner, minlength=n)
         path = viterbi(s, lengths, self.penalty)
         share = np.zeros((n, len(self.langs)))
-        np.add.at(share, (owner, path), letters)
-        total = share.sum(axis=1)
+        np.add.at(share, (owner[known], path[known]), letters[known])
+        total = np.bincount(owner, weights=letters, minlength=n)
         best = share.argmax(axis=1)
+        path = np.where(known, path, -1)
         starts = np.cumsum(lengths) - lengths
         turn = np.flatnonzero(np.append(True, (path[1:] != path[:-1]) | (owner[1:] != owner[:-1]))) if len(path) else []
         stop = np.append(turn[1:], len(path)) if len(path) else []
         for a, b in zip(turn, stop, strict=True):
             i = owner[a]
-            out["spans"][i].append({"first_word": int(a - starts[i]), "last_word": int(b - 1 - starts[i]), "lang": self.langs[path[a]]})
+            out["spans"][i].append({"first_word": int(a - starts[i]), "last_word": int(b - 1 - starts[i]), "lang": self.langs[path[a]] if path[a] >= 0 else "und"})
         for i in np.flatnonzero(total):
             out["lang_pred"][i] = self.langs[best[i]]
             out["score"][i] = float(share[i, best[i]] / total[i])
@@ -214,7 +222,8 @@ def fit(
 ) -> Model:
     """Fit on rows with a text and a language; counts are summed in Spark, the driver gets the sums.
 
-    The sample of at most about ``most`` rows is chosen by the hash of the key column.
+    The sample of at most about ``most`` rows is chosen by the hash of the key column. Labels that name
+    more than MAX_LANGUAGES languages raise a ValueError: none is left out silently.
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(
         F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(key_col).alias("key")
@@ -234,7 +243,9 @@ def fit(
 
     sums = rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     words = sums.where(F.col("key") >= _BUCKETS).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang")
-    langs = sorted(r.lang for r in words.limit(MAX_LANGUAGES).collect())
+    langs = sorted(r.lang for r in words.limit(MAX_LANGUAGES + 1).collect())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"labels name more than {MAX_LANGUAGES} languages")
     at = {g: i for i, g in enumerate(langs)}
     counts = np.zeros((len(langs), _BUCKETS + _N_SCRIPTS))
     for r in sums.where(F.col("lang").isin(langs)).toLocalIterator() if langs else ():
@@ -262,7 +273,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     A word is a run of letters; its candidates are the languages that write its script. Viterbi
     finds the labelling of the words with the best sum of scores less SWITCH_PENALTY per change of
     language; spans lists its runs by word number from 0. lang_pred is the language with the most
-    letters (ties: the first by name), score its share of the letters.
+    letters (ties: the first by name), score its share of all letters. Words in a script that no
+    language writes are evidence for none: their spans are ``und`` and count for no language, so a
+    text of nothing else has the score 0 (and, as it has letters, the first language by name).
 
     Null texts, texts without a letter, and all texts where nothing could be learned give ``und``, 0
     and no span. Repeated rows and rows with a null id are labelled like any others; other columns
