@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,19 +26,33 @@ BASE_PHRASES = (
 )
 
 # Templates: label, then wording. <<beginOptional>>..<<endOptional>> may be left out as a whole;
-# <<var:N>> stands for any run of up to N words. Everything else is mandatory, word by word.
-TEMPLATES = (
-    ("mit", "<<beginOptional>>MIT License<<endOptional>> <<beginOptional>>Copyright <<var:12>><<endOptional>> Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software."),
+# <<var:N>> stands for any run of up to N words. Everything else is mandatory, word by word. Fixed
+# values: the wording of licences and of the notices that name them; whole licences are in templates/.
+NOTICES = (
+    ("mit", "<<beginOptional>>The<<endOptional>> <<beginOptional>>MIT License<<endOptional>> <<beginOptional>>(MIT)<<endOptional>> <<beginOptional>>Copyright <<var:12>><<endOptional>> Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var:12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("isc", "<<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright <<var:12>><<endOptional>> Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND <<var:6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:6>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("mit-notice", "<<beginOptional>>This <<var:3>> is<<endOptional>> <<beginOptional>>Released<<endOptional>> <<beginOptional>>Licensed<<endOptional>> <<beginOptional>>Distributed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
-    ("apache-2.0", "<<beginOptional>>This <<var:3>> is<<endOptional>> Licensed under the Apache License<<beginOptional>>, Version 2.0<<endOptional>> <<beginOptional>>(the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var:8>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.<<endOptional>>"),
-    ("gpl-notice", "<<beginOptional>>This <<var:3>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>GNU<<endOptional>> General Public License<<beginOptional>>, version <<var:1>><<endOptional>>"),
-    ("gpl-header", "<<var:6>> is free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation<<beginOptional>>; either version <<var:1>> of the License, or (at your option) any later version<<endOptional>>"),
-    ("bsd", "<<beginOptional>>Copyright <<var:12>><<endOptional>> Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("isc", "<<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright <<var:12>><<endOptional>> Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("cc0-1.0", "<<var:6>> dedicated <<var:8>> to the public domain <<var:12>> CC0<<beginOptional>> 1.0<<endOptional>> <<beginOptional>>Universal<<endOptional>>"),
+    ("apache-2.0-notice", "<<beginOptional>>This <<var:3>> is<<endOptional>> Licensed under the <<beginOptional>>terms of the<<endOptional>> Apache License, Version 2.0 <<beginOptional>>(the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<var:8>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. <<beginOptional>>See the License for the specific language governing permissions and limitations under the License.<<endOptional>><<endOptional>>"),
+    ("gpl-notice", "<<beginOptional>>This <<var:3>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> <<beginOptional>>GNU<<endOptional>> General Public License"),
+    ("gpl-2.0-notice", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl-3.0-notice", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("lgpl-2.1-notice", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl-3.0-notice", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at <<var:8>>"),
+    ("cc0-1.0-notice", "dedicated <<var:8>> to the public domain <<var:12>> CC0 1.0 Universal"),
 )
 
 
+def read_templates(folder: str) -> tuple[tuple[str, str], ...]:
+    """(label, wording) of every ``.txt`` file in a folder, by name: whole licences as templates."""
+    return tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("*.txt")))
+
+
+TEMPLATES = (*NOTICES, *read_templates(Path(__file__).parent / "templates"))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased, then the runs of 0-9, a-z and anything beyond ASCII."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -119,8 +134,8 @@ def compile_template(label: str, markup: str) -> Automaton:
                 before += 1
                 if not opened:
                     run.append(w)
-                    if len(run) > len(best):
-                        best, best_before = list(run), before - len(run)
+            if len(run) > len(best):
+                best, best_before = run, before - len(run)
             continue
         run = []
         # what follows an edge without a word needs a state of its own, or a word edge would overwrite it
@@ -217,7 +232,9 @@ def scan(
 ) -> DataFrame:
     """Per document the base phrases and the licence templates that its whole text holds.
 
-    n_base counts all places of the phrases, first_word and last_word are the smallest and largest
+    A template is found where all of its mandatory words stand as they are, with its optional regions
+    whole or left out and up to as many words as each replaceable region allows. n_base counts all
+    places of the phrases, first_word and last_word are the smallest and largest
     word numbers at which one starts (null without any), base_labels their labels; matches lists the
     template texts by first and last word, labels adds their labels. score is the share of the
     words inside phrases and matches.
