@@ -15,8 +15,6 @@ from quiresmith.llm.common import Shelf, hash01, map_texts, sample_rows
 #: Labelled documents that the classifier is fitted on at most (a random sample, whole texts).
 MAX_TRAIN_DOCS = 20_000
 MAX_ROUNDS = 30
-#: Rate of a document at most: repeating one more often than this teaches little.
-MAX_RATE = 4.0
 #: Largest difference of an expected share from its target at which the descent stops.
 TOLERANCE = 5e-4
 #: Added to the posteriors' second moments, so that a domain that hardly any document belongs to is
@@ -199,28 +197,34 @@ class Rates:
     """Document rates as a function of the posterior alone: the descent's steps, replayed.
 
     Every document starts at rate 1. Step s subtracts the inner product of its posterior with
-    ``steps[s]`` from the point that momentum leads to, and projects onto [0, most].
+    ``steps[s]`` from the point that momentum leads to, and projects onto [0, most], or if that is None
+    onto the nonnegative rates; momentum starts anew after the steps in ``restarts``. ``shares`` are the expected shares that the descent ended with, ``gap``
+    the largest difference of one from its target.
     """
 
     domains: list[str]
-    most: float = MAX_RATE
+    most: float | None = None
     steps: list[np.ndarray] = field(default_factory=list)
+    restarts: set[int] = field(default_factory=set)
     shares: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    gap: float = 0.0
 
     def of(self, p: np.ndarray, ahead: bool = False) -> np.ndarray:
         """The rates, or with ``ahead`` the point at which the next gradient is taken."""
         r = y = np.ones(len(p))
-        for t, s in enumerate(self.steps):
+        t = 0
+        for i, s in enumerate(self.steps):
             new = np.clip(y - p @ s, 0.0, self.most)
-            y = new + t / (t + 3) * (new - r)
+            t = 0 if i in self.restarts else t + 1
+            y = new + max(0, t - 1) / (t + 2) * (new - r)
             r = new
         return y if ahead else r
 
 
 def fit_rates(
-    table: DataFrame, domains: Sequence[str], targets: Mapping[str, float], rounds: int = MAX_ROUNDS, most: float = MAX_RATE
+    table: DataFrame, domains: Sequence[str], targets: Mapping[str, float], rounds: int = MAX_ROUNDS, most: float | None = None
 ) -> Rates:
-    """Rates in [0, most] whose expected token shares per domain come as near to ``targets`` as can be.
+    """Nonnegative rates (of at most ``most``, if given) whose expected token shares per domain come as near to ``targets`` as can be.
 
     Minimises (E(r)/B - w)' A^-1 (E(r)/B - w), where E(r) sums rate * tokens * posterior over all
     documents, B is the token total, w the targets and A the token-weighted second moment of the
@@ -260,15 +264,21 @@ def fit_rates(
     if not total:
         return rates
     inverse = np.linalg.inv(a / total + RIDGE * np.eye(k))
-    last = np.full(k, np.inf)
+    last, worth = np.full(k, np.inf), np.inf
     for _ in range(rounds):
         gap = e / total - w
-        if np.abs(gap).max() < TOLERANCE or np.abs(gap - last).max() < TOLERANCE / 10:
+        if np.abs(gap).max() < TOLERANCE or np.abs(gap - last).max() < TOLERANCE / 100:
             break
-        last = gap
-        rates.steps.append(inverse @ gap)
+        now = gap @ inverse @ gap
+        if now > worth and len(rates.steps) - 1 not in rates.restarts:  # momentum led uphill
+            rates.restarts.add(len(rates.steps) - 1)
+            worth = np.inf
+        else:
+            last, worth = gap, now
+            rates.steps.append(inverse @ gap)
         e = sums(ahead=True)[1]
     rates.shares = sums(ahead=False)[1] / total
+    rates.gap = float(np.abs(rates.shares - w).max())
     return rates
 
 
@@ -323,13 +333,18 @@ def copies(rate: Column, *by: Column) -> Column:
     return (F.floor(rate) + (hash01(*by, seed=13) < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens, posterior, rate, copies) for every row of ``docs``.
+def mix(
+    docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
+    rounds: int = MAX_ROUNDS, most: float | None = None,
+) -> DataFrame:
+    """(doc_id, tokens, posterior, rate, copies, gap) for every row of ``docs``.
 
     ``labelled`` (doc_id, domain) names domains of some documents; the classifier fitted on them
     gives every document a posterior over the domains; rates make the expected token totals of the
-    domains match ``targets`` (shares; they are scaled to sum to 1, domains without one get 0), as far
-    as rates of MAX_RATE at most can.
+    domains match ``targets`` (shares; they are scaled to sum to 1, domains without one get 0). gap, the
+    same in all rows, tells how far the worst expected share stays from its target: up to TOLERANCE if
+    the targets can be met, more if no nonnegative rates (of at most ``most``, if given) meet them or
+    ``rounds`` were too few.
 
     A null text has no words, the prior as posterior and thus a rate like any other. Without usable
     labels there is no domain: posteriors are empty and rates 1. Repeated rows get equal rates and
@@ -338,6 +353,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     """
     model = fit_classifier(docs, labelled, id_col, text_col)
     table = Shelf(docs.sparkSession, "posteriors").put(posteriors(docs, model, [F.col(id_col).alias("doc_id")], text_col))
-    rates = fit_rates(table, model.domains, targets)
+    rates = fit_rates(table, model.domains, targets, rounds, most)
     out = rated(table.select("doc_id", "tokens", "posterior"), rates)
-    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumn("gap", F.lit(rates.gap))
