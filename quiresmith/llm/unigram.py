@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -17,6 +18,9 @@ BLANK = "\u2581"
 #: Pre-tokens remembered in a worker, and the longest one remembered.
 MAX_UNITS = 250_000
 MAX_UNIT_CHARS = 48
+#: Characters of a pre-token from which its tables are packed.
+LONG_UNIT = 4096
+_NONE = float("-inf")
 
 
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -53,9 +57,11 @@ class Counter:
     def unit(self, text: str) -> int:
         """Tokens of one pre-token."""
         n = len(text)
-        score: list[float | None] = [0.0] + [None] * n
-        count = [0] * (n + 1)
-        unknown = [False] * (n + 1)
+        if n < LONG_UNIT:
+            score, count, unknown = [_NONE] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        else:  # packed: 17 bytes a character
+            score, count, unknown = array("d", [_NONE]) * (n + 1), array("q", [0]) * (n + 1), bytearray(n + 1)
+        score[0] = 0.0
         ready = 0  # ends up to here have seen all their candidates
 
         def settle(upto: int) -> None:
@@ -65,7 +71,7 @@ class Counter:
                 if text[ready - 1] in self._single:
                     continue
                 new = score[ready - 1] + self._unknown
-                if score[ready] is None or new > score[ready]:
+                if new > score[ready]:
                     score[ready] = new
                     count[ready] = count[ready - 1] + (not unknown[ready - 1])
                     unknown[ready] = True
@@ -76,8 +82,7 @@ class Counter:
                 settle(last)
             start = end - size
             new = score[start] + worth
-            old = score[end]
-            if old is None or new > old:
+            if new > score[end]:
                 score[end] = new
                 count[end] = count[start] + (not (is_unknown and unknown[start]))
                 unknown[end] = is_unknown
