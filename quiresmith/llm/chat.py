@@ -126,20 +126,22 @@ def threads(rows: DataFrame) -> DataFrame:
     """Reply trees of flat conversations (conv_id, turn, role, text): each row replies to the one before.
 
     Rows of a conversation stand by turn (null first), equal turns by role and text; rows with a null
-    conv_id form a conversation of their own.
+    conv_id form a conversation of their own. A tree is named by ``=`` and its conv_id, or nothing. The
+    turns of one conversation come together in one task, as the text made of them must.
     """
-    tree = F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("tree")
+    tree = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("tree")
     rows = rows.select(tree, "turn", "role", "text")
     at = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("long")
     rows = rows.withColumn("node", at)
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-_DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_DIGEST = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation what can be read back from ``formatted`` and ``mask`` alone."""
+def digests(formatted: DataFrame, kind: str = "long") -> DataFrame:
+    """Per conversation of ``threads`` what can be read back from ``formatted`` and ``mask`` alone;
+    ``kind`` is the type of conv_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,9 +152,9 @@ def digests(formatted: DataFrame) -> DataFrame:
                 for role, said in read:
                     turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
                 loss = "".join(unescape(text[m["start"] : m["stop"]]) for m in mask)
-                rows.append((None if tree == "none" else int(tree), len(read), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                rows.append((tree[1:] if tree else None, len(read), turns.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _DIGEST.split(", ")])
 
-    return formatted.select("tree", "formatted", "mask").mapInArrow(run, _DIGEST)
+    return formatted.select("tree", "formatted", "mask").mapInArrow(run, _DIGEST).withColumn("conv_id", F.col("conv_id").cast(kind))
