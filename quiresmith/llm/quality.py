@@ -18,12 +18,6 @@ from quiresmith.llm.common import Shelf, map_texts, sample_rows
 MAX_TRAIN_DOCS = 50_000
 #: Share of low-quality documents among those that a rule takes from the pruning part, at least.
 MIN_PRECISION = 0.95
-#: Documents that a rule takes from the growing part, at least.
-MIN_COVER = 8
-MAX_RULES = 24
-MAX_CONDITIONS = 4
-#: Thresholds tried per statistic: its quantiles.
-CUTS = 32
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _BLANKS = {c: None for c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)}
@@ -97,6 +91,20 @@ def measure_column(name: str) -> Column:
     return F.col(top).cast("double") if bottom is None else F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(F.lit(0.0))
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How rules are learned: ``precision``, the share of low-quality documents among those that a rule
+    takes from the pruning part, at least; ``cover``, documents that it takes from the growing part, at
+    least; ``rules`` of a list and ``conditions`` of a rule, at most; ``cuts``, thresholds tried per
+    statistic (its quantiles). They bound the model, never the documents that it judges."""
+
+    precision: float = MIN_PRECISION
+    cover: int = 8
+    rules: int = 24
+    conditions: int = 4
+    cuts: int = 32
+
+
 @dataclass(frozen=True)
 class Condition:
     measure: str
@@ -125,21 +133,21 @@ def _holds(rule: Sequence[Condition], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, bad: np.ndarray) -> list[Condition]:
+def _grow(x: np.ndarray, bad: np.ndarray, limits: Limits) -> list[Condition]:
     """Add the condition of the best information gain until only low-quality documents are taken."""
     rule: list[Condition] = []
     taken = np.ones(len(x), bool)
-    while len(rule) < MAX_CONDITIONS and (bad & taken).sum() and (~bad & taken).sum():
+    while len(rule) < limits.conditions and (bad & taken).sum() and (~bad & taken).sum():
         p0, n0 = (bad & taken).sum(), (~bad & taken).sum()
         best, gain = None, 1e-9
         for j, (name, _, _) in enumerate(MEASURES):
             v = x[taken, j]
-            for cut in np.unique(np.quantile(v, np.linspace(0, 1, CUTS + 1)[:-1])):
+            for cut in np.unique(np.quantile(v, np.linspace(0, 1, limits.cuts + 1)[:-1])):
                 over = v > cut
                 for above, inside in ((True, over), (False, ~over)):
                     p = (bad[taken] & inside).sum()
                     n = inside.sum() - p
-                    if p < MIN_COVER:
+                    if p < limits.cover:
                         continue
                     g = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
                     if g > gain:
@@ -167,26 +175,27 @@ def _prune(rule: list[Condition], x: np.ndarray, bad: np.ndarray) -> list[Condit
     return rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray, seed: int = 7) -> list[Rule]:
+def learn(x: np.ndarray, bad: np.ndarray, seed: int = 7, limits: Limits | None = None) -> list[Rule]:
     """Ordered rules that take low-quality documents: grown on two thirds, pruned on one third.
 
-    Each accepted rule removes what it takes. A rule that takes less than MIN_PRECISION low-quality
-    documents of the pruning part (with one document of either kind added) ends the list.
+    Each accepted rule removes what it takes. A rule of less than the precision of ``limits`` on the
+    pruning part ends the list, as do its other limits.
     """
+    limits = limits or Limits()
     rules: list[Rule] = []
     part = np.random.default_rng(seed).random(len(x)) < 2 / 3
     left = np.ones(len(x), bool)
-    while len(rules) < MAX_RULES:
+    while len(rules) < limits.rules:
         grow, prune = left & part, left & ~part
-        if bad[grow].sum() < MIN_COVER or not bad[prune].sum():
+        if bad[grow].sum() < limits.cover or not bad[prune].sum():
             break
-        rule = _grow(x[grow], bad[grow])
+        rule = _grow(x[grow], bad[grow], limits)
         if not rule:
             break
         rule = _prune(rule, x[prune], bad[prune])
         inside = _holds(rule, x)
         p, n = (bad & inside & prune).sum(), (~bad & inside & prune).sum()
-        if not p or p / (p + n) < MIN_PRECISION:
+        if not p or p / (p + n) < limits.precision:
             break
         rules.append(tuple(rule))
         left &= ~inside
@@ -208,7 +217,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> list[Rule]:
+def fit(stats: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS, limits: Limits | None = None) -> list[Rule]:
     """Rules from measured documents that have a label (doc_id, quality 0 or 1; 0 is low).
 
     The bounded sample of labelled rows is collected; everything else about a document stays in
@@ -226,20 +235,23 @@ def fit(stats: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> list
         .toPandas()
         .sort_values("doc_id")
     )
-    return learn(rows[[m[0] for m in MEASURES]].to_numpy(float), rows["bad"].to_numpy(bool))
+    return learn(rows[[m[0] for m in MEASURES]].to_numpy(float), rows["bad"].to_numpy(bool), limits=limits)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN_DOCS) -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN_DOCS, limits: Limits | None = None
+) -> DataFrame:
     """(doc_id, statistics, base_failed, rule, kept) for every row of ``docs``.
 
     Low: fewer than 50 words, or more than half of them in repeated windows (base_failed), else
-    taken by a learned rule, whose number is in ``rule``. Without usable labels no rule is learned
+    taken by a learned rule, whose number is in ``rule``. The rules are learned from at most about
+    ``most`` labelled documents under ``limits``; every document is judged. Without usable labels no rule is learned
     and the base decides alone. A null text counts as empty and fails the base. Repeated rows and
     null ids are judged like any others; other columns are ignored, whatever their names. An empty
     table gives an empty result.
     """
     stats = Shelf(docs.sparkSession, "quality").put(measure(docs, id_col, text_col))
-    rules = fit(stats, labels, most)
+    rules = fit(stats, labels, most, limits)
     return (
         stats.withColumn("base_failed", base_failed())
         .withColumn("rule", F.when(~F.col("base_failed"), verdict(rules)))
