@@ -73,3 +73,10 @@ def test_nulls_empty_and_repeated_rows(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
     assert got == {(None, None), (4, 4), (9, 2), (2, 2)}
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_an_id_of_several_texts_ties_their_groups(spark):
+    a, b = "one two three four five six", "quite another text of some words"
+    rows = [(5, a), (5, b), (9, a), (7, b), (8, "alone in the world it is")]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (9, 5), (7, 5), (8, 8)}
