@@ -175,8 +175,8 @@ def test_mixing_rates_match_brute_force(spark):
     p = np.vstack([p, np.tile([0.0, 1.0, 0.0], (3, 1))])
     tokens = rng.integers(0, 500, len(p))
     table = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens long, posterior array<double>").repartition(3)
-    for targets in ({"a": 0.2, "b": 0.2, "c": 0.6}, {"a": 1.0}):
-        rates = mixing.fit_rates(table, ["a", "b", "c"], targets, rounds=60)
+    for targets, most in (({"a": 0.2, "b": 0.2, "c": 0.6}, None), ({"a": 1.0}, 2.0)):
+        rates = mixing.fit_rates(table, ["a", "b", "c"], targets, 60, most)
         w = np.array([targets.get(d, 0.0) for d in "abc"])
         total = tokens.sum()
         a = (p * tokens[:, None]).T @ p / total + mixing.RIDGE * np.eye(3)
@@ -188,9 +188,9 @@ def test_mixing_rates_match_brute_force(spark):
 
         r = np.ones(len(p))
         for _ in range(20_000):
-            r = np.maximum(r - 0.9 * p @ (inverse @ ((tokens * r) @ p / total - w)), 0)
+            r = np.clip(r - 0.9 * p @ (inverse @ ((tokens * r) @ p / total - w)), 0, most)
         mine = rates.of(p)
-        assert (mine >= 0).all() and loss(mine) <= 1.1 * loss(r) + 1e-4
+        assert (mine >= 0).all() and loss(mine) <= loss(r) + 1e-3
         assert rates.shares == pytest.approx((tokens * mine) @ p / total) and rates.gap == pytest.approx(np.abs(rates.shares - w).max())
     assert rates.gap > 0.01  # soft members of the other domains come along: told, not hidden
 
