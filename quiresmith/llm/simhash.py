@@ -182,7 +182,7 @@ def wide_distance(similarity: float) -> float:
 
 def _leaders(rows: DataFrame) -> DataFrame:
     """(a, b, key) of rows (key, part, id, x, y): within each key and part every leader's near ones, and
-    with b null the leaders. The first row is a leader, and so is each that no leader before is near to.
+    with b null the leaders of keys that are dealt to parts (part not negative). The first row is a leader, and so is each that no leader before is near to.
     A group of near copies gives a row each, not all pairs."""
     rows = rows.select("key", "part", "id", "x", "y").repartition("key", "part").sortWithinPartitions("key", "part", "id")
 
@@ -196,19 +196,18 @@ def _leaders(rows: DataFrame) -> DataFrame:
 
         size = 0
         for key, part, ids, x, y in _key_groups(batches):
-            if len(ids) == 1 and part < 0:
-                continue
             open_, at = np.ones(len(ids), bool), 0
             while at < len(ids):
                 near = np.bitwise_count(x ^ x[at]) + np.bitwise_count(y ^ y[at]) <= EARLY_DISTANCE
                 near[at] = False
                 open_[at] = False
                 open_ &= ~near
-                hit = ids[near]
-                a.append(np.full(len(hit) + 1, ids[at]))
-                b.append(np.append(hit, -1))
-                k.append(np.full(len(hit) + 1, key))
-                size += len(hit) + 1
+                hit = ids[near] if part < 0 else np.append(ids[near], -1)
+                if len(hit):
+                    a.append(np.full(len(hit), ids[at]))
+                    b.append(hit)
+                    k.append(np.full(len(hit), key))
+                    size += len(hit)
                 at = int(open_.argmax()) if open_.any() else len(ids)
             if size > 100_000:
                 yield flush()
@@ -220,7 +219,7 @@ def _leaders(rows: DataFrame) -> DataFrame:
 
 
 def _key_groups(batches):
-    """(key, part, ids, x, y) of a stream sorted by key and part."""
+    """(key, part, ids, x, y) of a stream sorted by key and part; rows alone in an undealt key are passed over."""
     held: list[tuple] = []
     last = None
     for batch in batches:
@@ -229,15 +228,19 @@ def _key_groups(batches):
         if not n:
             continue
         key, part = columns[0], columns[1]
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-        for s, e in itertools.pairwise([0, *cuts.tolist(), n]):
+        cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, [n]])
+        look = (np.diff(cuts) > 1) | (part[cuts[:-1]] >= 0)
+        look[[0, -1]] = True  # they may go on in other batches
+        for g in np.flatnonzero(look):
+            s, e = cuts[g], cuts[g + 1]
             now = (int(key[s]), int(part[s]))
             if held and now != last:
-                yield *last, *_joined(held)
+                if last[1] >= 0 or sum(len(h[0]) for h in held) > 1:
+                    yield *last, *_joined(held)
                 held = []
             last = now
             held.append([c[s:e] for c in columns[2:]])
-    if held:
+    if held and (last[1] >= 0 or sum(len(h[0]) for h in held) > 1):
         yield *last, *_joined(held)
 
 
@@ -256,18 +259,19 @@ def similar(texts: DataFrame, shelf: Shelf, width: int = 5, least: float = 0.8)
     against the leaders of its key by the first 128 bits; a key of more rows than TOGETHER is dealt to
     several tasks whose leaders meet again. Candidates are verified by the Hamming distance of the
     whole fingerprints, and where that is nearer to the bound than four standard errors by the shingles
-    themselves. Equal texts are one class and never meet in pairs.
+    themselves. Equal texts are one class and never meet in pairs. Texts that are no copies share a
+    block key by chance, one in 2^BLOCK_BITS; corpora of many times that number want longer blocks.
     """
     made = map_texts(texts, [F.col("id")], F.col("text"), _wide(width), [T.StructField("wide", T.ArrayType(T.LongType())), T.StructField("same", T.BinaryType())])
     made = shelf.put(made)
     classes = shelf.put(made.groupBy("same").agg(F.min("id").alias("rep"), F.first("wide").alias("wide")))
     keyed = classes.where(F.size("wide") > 0).select(F.col("rep").alias("id"), F.get("wide", F.lit(0)).alias("x"), F.get("wide", F.lit(1)).alias("y"), F.explode(wide_keys(F.col("wide"))).alias("key"))
-    counts = shelf.put(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    parts = F.ceil(F.col("n") / TOGETHER)
-    rows = keyed.join(counts, "key").withColumn("part", F.when(parts > 1, F.pmod(F.xxhash64("id"), parts)).otherwise(F.lit(-1)).cast("long"))
+    crowded = shelf.put(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / TOGETHER))
+    rows = keyed.join(crowded, "key", "left").withColumn("part", F.coalesce(part, F.lit(-1)).cast("long"))
     found = shelf.put(_leaders(rows))
     edges = found.where("b IS NOT NULL").select("a", "b")
-    again = found.where("b IS NULL").join(counts.where(F.col("n") > TOGETHER).select("key"), "key").select("key", F.col("a").alias("id"))
+    again = found.where("b IS NULL").select("key", F.col("a").alias("id")).distinct()
     again = again.join(classes.select(F.col("rep").alias("id"), F.get("wide", F.lit(0)).alias("x"), F.get("wide", F.lit(1)).alias("y")), "id").withColumn("part", F.lit(-1).cast("long"))
     edges = edges.unionByName(_leaders(again).where("b IS NOT NULL").select("a", "b"))
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

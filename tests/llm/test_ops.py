@@ -675,7 +675,7 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
                 assert got == []
 
 
-def test_wide_fingerprints_find_near_copies(spark):
+def test_wide_fingerprints_find_near_copies(spark, monkeypatch):
     from quiresmith.llm import simhash
     from quiresmith.llm.common import Shelf
 
@@ -698,6 +698,9 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert len(missed) <= 0.1 * len(links)
     assert all(five_word_similarity(texts[i], texts[roots[i]]) >= 0.8 for i in roots if i < 100)
     assert {roots.get(i) for i in range(100, 250)} == {100}
+    monkeypatch.setattr(simhash, "TOGETHER", 20)  # crowded keys are dealt to several tasks
+    dealt = {r.id: r.root for r in simhash.similar(df, Shelf(spark, "test")).collect()}
+    assert {dealt.get(i) for i in range(100, 250)} == {100}
     assert simhash.similar(df.limit(0), Shelf(spark, "test")).collect() == []
 
 
