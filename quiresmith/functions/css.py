@@ -11,7 +11,7 @@ from quiresmith.functions.dom import Element
 
 # Properties that @supports knows, and what a family list may hold besides families.
 SUPPORTED = frozenset(
-    "all color display font font-family font-size font-style font-weight font-variant letter-spacing line-height margin padding text-align text-decoration text-indent vertical-align white-space width height writing-mode background border".split()
+    "background background-color border color display font font-family font-size font-stretch font-style font-variant font-weight height line-height margin opacity padding text-align text-decoration visibility width".split()
 )
 GENERIC = frozenset("serif sans-serif monospace cursive fantasy system-ui ui-serif ui-sans-serif ui-monospace ui-rounded math emoji fangsong".split())
 KEYWORDS = frozenset("initial inherit unset revert revert-layer".split())

@@ -135,3 +135,22 @@ def rootfile(container: str) -> str | None:
     """Path of the package document that container.xml names."""
     m = re.search(r"<(?:\w+:)?rootfile\b[^>]*>", container)
     return unquote(attributes(m[0]).get("full-path", "")) or None if m else None
+
+
+def encryption(xml: str) -> dict | None:
+    """What an encryption.xml lists: resources, key names and algorithms; None if it is not well formed."""
+    try:
+        root = ElementTree.fromstring(xml)
+    except ElementTree.ParseError:
+        return None
+    uris, keys, algorithms = [], set(), set()
+    for e in root.iter():
+        tag = local(e.tag) if isinstance(e.tag, str) else ""
+        if tag == "CipherReference" and e.get("URI"):
+            uris.append(e.get("URI"))
+        elif tag == "KeyName" and e.text:
+            keys.add(e.text.strip())
+        elif tag == "EncryptionMethod" and e.get("Algorithm"):
+            algorithms.add(e.get("Algorithm"))
+    text = any(re.match(r"(?:.*oebps/)?(?:text|styles)/", u.lower()) for u in uris)
+    return {"uris": uris, "key_names": sorted(keys), "algorithms": sorted(algorithms), "text_or_css": text}

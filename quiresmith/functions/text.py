@@ -70,10 +70,77 @@ def char_class(ch: Column) -> Column:
     cp = F.ascii(ch)
     ranges = obfuscatable_ranges()
     simple = [r for r in ranges if r[0] < 0x80]
-    wide = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ranges if a >= 0x80))
     test = None
     for a, b in simple:
         t = cp.between(a, b)
         test = t if test is None else test | t
-    inside = F.when(cp < 0x80, test).otherwise(F.exists(wide, lambda r: cp.between(r["a"], r["b"])))
+    inside = F.when(cp < 0x80, test).otherwise(_within(cp, [r for r in ranges if r[0] >= 0x80]))
     return F.when(inside, "obfuscated").when((cp < 32) | cp.between(127, 159), "control").when(cp.isin(32, 160, 0x3000), "blank").otherwise("passthrough")
+
+
+# Marks that are never read, what counts as a full stop, and the Hangul block.
+PASSTHROUGH = "。，、；：？！“”‘’（）《》〈〉【】〔〕…—·"
+PERIOD, PERIODS, ZERO_PERIOD = "。", (".", "．", "｡"), "0"
+HANGUL = (0xAC00, 0xD7AF)
+#: What is read: characters that obfuscation makes, or with "compatible" all beyond ASCII as well.
+POLICIES = {"strict": "strict", "compatible": "compatible", "external": "compatible"}
+
+
+def policy_of(name: str | None) -> str:
+    """A policy by its name or alias in any case; an unknown one is strict."""
+    return POLICIES.get((name or "strict").strip().lower(), "strict")
+
+
+@lru_cache(1)
+def private_and_control_ranges() -> tuple[tuple[int, int], ...]:
+    """Runs of code points that are controls, unassigned or surrogates, but not of private use."""
+    out: list[tuple[int, int]] = []
+    start = None
+    for cp in range(0x110001):
+        inside = cp < 0x110000 and unicodedata.category(chr(cp)) in ("Cc", "Cf", "Cn", "Cs")
+        if inside and start is None:
+            start = cp
+        elif not inside and start is not None:
+            out.append((start, cp - 1))
+            start = None
+    return tuple(out)
+
+
+def _within(cp: Column, ranges) -> Column:
+    """Whether a code point lies in one of many ranges; the table is one literal that folds to a constant."""
+    table = F.from_json(F.lit(str([list(r) for r in ranges])), "array<array<int>>")
+    return F.exists(table, lambda r: cp.between(r[0], r[1]))
+
+
+def is_hint(ch: Column) -> Column:
+    """Whether a character tells by itself that it was obfuscated: of private use, or Hangul."""
+    cp = F.ascii(ch)
+    return F.coalesce(cp.between(0xE000, 0xF8FF) | cp.between(0xF0000, 0xFFFFD) | cp.between(0x100000, 0x10FFFD) | cp.between(*HANGUL), F.lit(False))
+
+
+def never_read(ch: Column) -> Column:
+    """Blanks, controls and punctuation that recognition leaves alone; also nothing."""
+    cp = F.ascii(ch)
+    blank = cp.isin(*[c for c in range(0x3001) if chr(c).isspace()])
+    return F.coalesce(blank | _within(cp, private_and_control_ranges()) | ch.isin(*PASSTHROUGH) | (ch == ""), F.lit(True))
+
+
+def is_candidate(ch: Column, policy: str = "strict") -> Column:
+    """Whether recognition reads a character under a policy."""
+    marked = is_hint(ch) | (char_class(ch) == "obfuscated")
+    if policy_of(policy) == "compatible":
+        marked = marked | (F.ascii(ch) >= 0x80)
+    return ~never_read(ch) & marked
+
+
+def pool_name(ch: Column) -> Column:
+    """The pool that stands in for a character: ascii, fullwidth or wide."""
+    cp = F.ascii(ch)
+    return F.when(cp < 0x80, "ascii").when(cp.between(0xFF00, 0xFFEF), "fullwidth").otherwise("wide")
+
+
+@lru_cache(3)
+def pool(name: str) -> tuple[int, ...]:
+    """Code points of a pool: ASCII or full-width letters and digits, or the wide letters of the Hangul block."""
+    first, last = {"ascii": (0x30, 0x7A), "fullwidth": (0xFF10, 0xFF5A), "wide": HANGUL}[name]
+    return tuple(c for c in range(first, last + 1) if obfuscatable(chr(c)))

@@ -118,13 +118,33 @@ def usage(members: DataFrame) -> DataFrame:
     return glyphs.usage(pieces(members).where("font IS NOT NULL").select("book_id", "font", "pos", "text"))
 
 
-def obfuscate(members: DataFrame, seed: int = 0) -> dict[str, DataFrame]:
-    """Fonts with permuted code points, and the documents' texts written in them.
+def families(members: DataFrame) -> DataFrame:
+    """(book_id, family, font): every family name of a book, as the cascade reads it, and its font's path."""
+
+    def known(parts):
+        sheets, files = _load(parts)
+        return [{"family": f, "font": p} for f, p in sorted(family_files(list(sheets.items()), files).items())]
+
+    rows = _books(members).select("book_id", F.explode(F.udf(known, "array<struct<family:string,font:string>>")("parts")).alias("x"))
+    return rows.select("book_id", "x.*")
+
+
+def target_fonts(members: DataFrame, targets: DataFrame) -> DataFrame:
+    """(book_id, font): the fonts that the families of ``targets`` (book_id, family) name."""
+    wanted = F.udf(css.normal_family, "string")("family")
+    return families(members).join(targets.select("book_id", wanted.alias("family")).distinct(), ["book_id", "family"]).select("book_id", "font").distinct()
+
+
+def obfuscate(members: DataFrame, seed: int = 0, targets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Fonts with other code points, drawn from the pools, and the documents' texts written in them.
 
     Returns ``members`` (same columns as given) and ``char_map`` (book_id, font, src, dst). Only
-    characters that the font has a glyph for take part; a font that cannot be read stays as it is.
+    characters that the font has a glyph for take part; a font that cannot be read stays as it is, as
+    do fonts that ``targets`` (book_id, family), if given, does not name.
     """
     used = usage(members)
+    if targets is not None:
+        used = used.join(target_fonts(members, targets), ["book_id", "font"], "left_semi")
     chars = used.select("book_id", "font", F.explode(F.filter(F.split("chars", ""), lambda c: c != "")).alias("ch"))
     fonts = members.where(F.col("ext").isin(*_FONTS)).select("book_id", F.col("path").alias("font"), "content")
 
@@ -135,8 +155,10 @@ def obfuscate(members: DataFrame, seed: int = 0) -> dict[str, DataFrame]:
             return None
 
     cmap = fonts.select("book_id", "font", F.explode(F.udf(codepoints, "array<int>")("content")).alias("codepoint"))
-    chars = chars.withColumn("codepoint", F.ascii("ch")).join(cmap, ["book_id", "font", "codepoint"], "left_semi")
-    char_map = glyphs.permute(chars, seed)
+    chars = chars.withColumn("codepoint", F.ascii("ch"))
+    lacking = chars.join(cmap, ["book_id", "font", "codepoint"], "left_anti")
+    chars = chars.join(cmap, ["book_id", "font", "codepoint"], "left_semi")
+    char_map = glyphs.draw(chars, lacking, seed)
     tables = char_map.groupBy("book_id", "font").agg(F.map_from_entries(F.collect_list(F.struct("src", "dst"))).alias("moves"))
 
     def move(data, moves):
@@ -247,14 +269,15 @@ def remove_references(members: DataFrame, targets: DataFrame) -> DataFrame:
 Recogniser = Callable[[str, bytes, str], tuple[str, float | None]]
 
 
-def recover(members: DataFrame, recognise: Recogniser, least: float = 0.8) -> DataFrame:
-    """(book_id, font, src, dst, status, confidence): what each obfuscated character shows.
+def recover(members: DataFrame, recognise: Recogniser, least: float = 0.8, policy: str = "strict") -> DataFrame:
+    """(book_id, font, src, dst, status, confidence): what each character shows that ``policy`` has read.
 
     ``recognise`` is plugged in, as no glyph reader comes with the library. A failure is a row with
-    its status and a placeholder, never a failed job.
+    its status and a placeholder, never a failed job. Full stops read from hint characters are the
+    ideographic one.
     """
     used = usage(members).select("book_id", "font", F.explode(F.filter(F.split("chars", ""), lambda c: c != "")).alias("src"))
-    used = used.where(text.char_class(F.col("src")) == "obfuscated")
+    used = used.where(text.is_candidate(F.col("src"), policy))
     fonts = members.where(F.col("ext").isin(*_FONTS)).select("book_id", F.col("path").alias("font"), "content")
     lists = used.groupBy("book_id", "font").agg(F.array_sort(F.collect_list("src")).alias("chars")).join(fonts, ["book_id", "font"])
 
@@ -271,7 +294,7 @@ def recover(members: DataFrame, recognise: Recogniser, least: float = 0.8) -> Da
     kind = "array<struct<src:string,text:string,confidence:double,failed:boolean>>"
     rows = lists.select("book_id", "font", F.explode(F.udf(read, kind)("font", "content", "chars")).alias("x")).select("book_id", "font", "x.*")
     status = glyphs.status(F.col("text"), F.coalesce("confidence", F.lit(0.0)), F.col("failed"), least)
-    shown = F.when(status == "ok", F.regexp_replace("text", r"\s+", "")).otherwise(F.concat(F.lit("["), text.codepoint_name(F.col("src")), F.lit(" "), status, F.lit("]")))
+    shown = F.when(status == "ok", glyphs.normalise(F.col("text"), F.col("src"), F.lit(False))).otherwise(F.concat(F.lit("["), text.codepoint_name(F.col("src")), F.lit(" "), status, F.lit("]")))
     return rows.select("book_id", "font", "src", shown.alias("dst"), status.alias("status"), "confidence")
 
 

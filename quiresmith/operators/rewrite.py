@@ -144,11 +144,14 @@ def run(members: DataFrame, policy: Policy) -> dict[str, DataFrame]:
     shelf = Shelf(members.sparkSession, policy.name)
     good = members.where("error IS NULL")
     # one pass over the archives gives the listing and the package documents; the rest is small
-    is_package = (F.col("ext") == "opf") | (F.lower("path") == "meta-inf/container.xml")
+    is_package = (F.col("ext") == "opf") | F.lower("path").isin("meta-inf/container.xml", "meta-inf/encryption.xml")
     index = shelf.put(good.select("book_id", "ord", "path", "ext", F.when(is_package, F.col("content")).alias("content")))
     packages = shelf.put(epub.packages(index))
     planned = shelf.put(plan(packages, index, policy))
+    listed = epub.encryption(index).where(F.size("uris") > 0).select("book_id").distinct().withColumn("listed", F.lit(True))
     state = obfuscated(planned)
+    if policy == DECRYPT:  # what encryption.xml lists counts as well
+        state = state.join(listed, "book_id", "left").select("book_id", (F.col("encrypted") | F.coalesce("listed", F.lit(False))).alias("encrypted"))
     skip = state.where(F.col("encrypted") == policy.skip_when) if policy.skip_when is not None else state.where(F.lit(False))
     skip = shelf.put(skip)
     todo = packages.join(skip.select("book_id"), "book_id", "left_anti")

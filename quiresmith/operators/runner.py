@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quiresmith.functions import naming
 from quiresmith.operators import archive, fonts, jobs, rewrite, workspace
+from quiresmith.shelf import Shelf
 from quiresmith.sources import epub
 
 
@@ -78,22 +78,50 @@ def _process(spark: SparkSession, request: Request, members: DataFrame) -> tuple
     elif task == "chinese_convert":
         out = workspace.convert_text(good, o.get("table", {}))["members"]
     elif task == "replace_cover":
-        rows = [(os.path.basename(k), bytes(v)) for k, v in o["covers"].items()]
+        rows = [(_qualified(spark, k)[0], bytes(v)) for k, v in o["covers"].items()]
         covers = spark.createDataFrame(rows, "book_id string, cover binary")
         skipped = good.select("book_id").distinct().join(covers.select("book_id"), "book_id", "left_anti").withColumn("message", F.lit("no cover given"))
         out = workspace.replace_covers(good, epub.packages(good), covers)
     elif task in ("encrypt_font", "decrypt_font"):
         have = good.where(F.col("ext").isin("ttf", "otf", "woff")).select("book_id").distinct()
         skipped = good.select("book_id").distinct().join(have, "book_id", "left_anti").withColumn("message", F.lit("no embedded font"))
+        targets = _targets(spark, request, good)
+        if targets is not None:
+            named = targets.select("book_id").distinct()
+            skipped = skipped.unionByName(have.join(named, "book_id", "left_anti").withColumn("message", F.lit("no font chosen")))
         if task == "encrypt_font":
-            out = fonts.obfuscate(good, o.get("seed", 0))["members"]
+            out = fonts.obfuscate(good, o.get("seed", 0), targets)["members"]
         else:
-            found = fonts.recover(good, o["recognise"], o.get("min_confidence", 0.8))
+            found = fonts.recover(good, o["recognise"], o.get("min_confidence", 0.8), o.get("ocr_char_policy", "strict"))
+            if targets is not None:
+                found = found.join(fonts.target_fonts(good, targets), ["book_id", "font"], "left_semi")
             out = restore_text(good, found)
             out = fonts.remove_references(out, found.select("book_id", F.col("font").alias("path")))
     return archive.stamp(out).join(skipped.select("book_id"), "book_id", "left_anti"), skipped
 
 
+def _qualified(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """A path as Spark names it, and whether it is there, by the file system that it lies in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(p).toString(), fs.exists(p)
+
+
+def _targets(spark: SparkSession, request: Request, members: DataFrame) -> DataFrame | None:
+    """(book_id, family) of the fonts that a request wants changed; None if it names none at all.
+
+    ``target_font_families_by_file`` goes by the input file, ``target_font_families`` for all others.
+    """
+    by_file, default = request.options.get("target_font_families_by_file") or {}, request.options.get("target_font_families") or []
+    if not by_file and not default:
+        return None
+    own = {_qualified(spark, k)[0]: [str(f) for f in v if f] for k, v in by_file.items() if isinstance(v, list)}
+    rows = [(b, f) for b, families in own.items() for f in families]
+    named = spark.createDataFrame(rows, "book_id string, family string")
+    others = members.select("book_id").distinct().where(~F.col("book_id").isin(sorted(own)))
+    return named.unionByName(others.withColumn("family", F.explode(F.array(*map(F.lit, default)).cast("array<string>"))))
+
+
 def restore_text(members: DataFrame, char_map: DataFrame) -> DataFrame:
     """Documents with the characters of each font replaced by what they show."""
     tables = char_map.groupBy("book_id", "font").agg(F.map_from_entries(F.collect_list(F.struct("src", "dst"))).alias("moves"))
@@ -106,22 +134,31 @@ def run(spark: SparkSession, request: Request) -> dict[str, Any]:
     and ``result``, the roll-up.
 
     Books are read, changed, packed and written in one distributed plan; one that fails, is no EPUB or
-    was processed before is a row, and the others go on.
+    was processed before is a row, and the others go on. A book is known by its path: files of one
+    name are books of their own, and of their outputs in one folder the later ones are numbered.
     """
     validate(request)
     suffix = naming.CONVERTED_SUFFIX.get(request.options.get("direction")) if request.task_type == "chinese_convert" else naming.OUTPUT_SUFFIX[request.task_type]
-    names = sorted({os.path.basename(f) for f in request.input_files})
-    wanted = spark.createDataFrame([(n,) for n in names], "book_id string")
+    given = {_qualified(spark, f)[0]: f for f in reversed(request.input_files)}
+    there = {q for q, f in given.items() if _qualified(spark, f)[1]}
+    wanted = spark.createDataFrame([(q,) for q in sorted(given)], "book_id string")
     low = F.lower("book_id")
     done_before = wanted.where(low.endswith(f"{suffix.lower()}.epub")).select("book_id", F.lit("skipped").alias("status"), F.lit("already processed").alias("message"))
-    files = [f for f in request.input_files if f.lower().endswith(".epub") and not f.lower().endswith(f"{suffix.lower()}.epub") and os.path.exists(f)]
-    present = {os.path.basename(f) for f in files}
-    absent = wanted.where(~F.col("book_id").isin(sorted(present)) & ~low.endswith(f"{suffix.lower()}.epub")).select("book_id", F.lit("failed").alias("status"), F.lit("no EPUB file").alias("message"))
+    files = sorted(q for q in there if q.lower().endswith(".epub") and not q.lower().endswith(f"{suffix.lower()}.epub"))
+    absent = wanted.where(~F.col("book_id").isin(files) & ~low.endswith(f"{suffix.lower()}.epub")).select("book_id", F.lit("failed").alias("status"), F.lit("no EPUB file").alias("message"))
     rows = done_before.unionByName(absent).withColumn("output_path", F.lit(None).cast("string"))
     if files:
         members = epub.members(epub.books(spark, files))
         out, skipped = _process(spark, request, members)
-        packed = archive.pack(out).withColumn("name", F.concat(naming.stem(F.col("book_id")), F.lit(f"{suffix}.epub")))
+        seen: dict[str, int] = {}
+        numbers = []
+        for f in files:
+            name = f.rpartition("/")[2]
+            seen[name] = seen.get(name, 0) + 1
+            numbers.append((f, "" if seen[name] == 1 else f"_{seen[name]}"))
+        number = spark.createDataFrame(numbers, "book_id string, number string")
+        packed = archive.pack(out).join(number, "book_id").withColumn("name", F.concat(naming.stem(epub.file_name(F.col("book_id"))), "number", F.lit(f"{suffix}.epub"))).drop("number")
+        packed = Shelf(spark, "packed").put(packed)  # read twice: archives and failures
         written = archive.write(packed, request.output_dir)
         ok = written.select("book_id", F.lit("success").alias("status"), F.lit("").alias("message"), "output_path")
         bad = members.where("error IS NOT NULL").select("book_id", F.lit("failed").alias("status"), F.col("error").alias("message")).unionByName(
@@ -130,7 +167,7 @@ def run(spark: SparkSession, request: Request) -> dict[str, Any]:
         passed = skipped.select("book_id", F.lit("skipped").alias("status"), "message")
         rows = rows.unionByName(ok).unionByName(bad.unionByName(passed).withColumn("output_path", F.lit(None).cast("string")))
     # one row a book comes back: the request names the books, so this is as small as the request
-    got = sorted((r.asDict() for r in rows.collect()), key=lambda r: r["book_id"])
+    got = sorted(({**r.asDict(), "book_id": given.get(r["book_id"], r["book_id"])} for r in rows.collect()), key=lambda r: r["book_id"])
     return {"files": got, "events": events(request, got), "result": result(request, got)}
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiresmith.functions import raster
 from quiresmith.operators import archive, fonts, rewrite, workspace
 from quiresmith.registry import register
 from quiresmith.shelf import Shelf
@@ -135,6 +136,135 @@ def script_conversion(spark, sf_dir):
     return out.where("ext = 'xhtml'").select("book_id", "path", F.md5("content").alias("digest"))
 
 
+@register("spine_order", f"SELECT {_BOOK} AS book_id, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS pos, 'p' || page_id AS idref FROM pages")
+def spine_order(spark, sf_dir):
+    return epub.spine(epub.packages(scanned(spark, sf_dir))).select("book_id", F.col("pos").cast("long").alias("pos"), "idref")
+
+
+@register("book_metadata", f"SELECT DISTINCT {_BOOK} AS book_id, '3.0' AS version, 't' AS title, 'xml' AS parse_mode, 'OPS/package.opf' AS opf_path FROM pages")
+def book_metadata(spark, sf_dir):
+    return epub.metadata(epub.packages(scanned(spark, sf_dir))).select("book_id", "version", "title", "parse_mode", "opf_path")
+
+
+@register(
+    "rewritten_resources",
+    f"""SELECT DISTINCT {_BOOK} AS book_id, path, content FROM pages, (VALUES
+         ('OEBPS/Styles/m.css', '{_CSS.replace("f.ttf", "../Fonts/f.ttf")}'), ('OEBPS/Fonts/f.ttf', 'no font program'), ('mimetype', 'application/epub+zip')) AS v(path, content)""",
+)
+def rewritten_resources(spark, sf_dir):
+    """Style sheets with their references led anew, and members that are copied as they are."""
+    out = rewrite.run(scanned(spark, sf_dir), rewrite.REFORMAT)["members"]
+    return out.where("path LIKE 'OEBPS/Styles/%' OR path LIKE 'OEBPS/Fonts/%' OR path = 'mimetype'").select("book_id", "path", F.col("content").cast("string").alias("content"))
+
+
+@register(
+    "rewritten_package",
+    f"""SELECT {_BOOK} AS book_id, 'p' || page_id AS id, 'Text/' || page_id || '.xhtml' AS href, 'application/xhtml+xml' AS media_type, row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS place FROM pages
+        UNION ALL SELECT DISTINCT {_BOOK}, id, href, media_type, NULL FROM pages, (VALUES ('css', 'Styles/m.css', 'text/css'), ('f', 'Fonts/f.ttf', 'font/ttf')) AS v(id, href, media_type)""",
+)
+def rewritten_package(spark, sf_dir):
+    """The manifest and reading order of rewritten books, read back from their package documents."""
+    out = rewrite.run(scanned(spark, sf_dir), rewrite.REFORMAT)["members"]
+    packages = epub.packages(epub.members(Shelf(spark, "rewritten").put(archive.pack(out).select("book_id", "content"))))
+    spine = epub.spine(packages).select("book_id", F.col("idref").alias("id"), F.col("pos").cast("long").alias("place"))
+    return epub.manifest(packages).join(spine, ["book_id", "id"], "left").select("book_id", "id", "href", "media_type", "place")
+
+
+@register("rewrite_link_issues", f"SELECT DISTINCT {_BOOK} AS book_id, 'OPS/m.css' AS doc_path, 'no.ttf' AS href, 'missing' AS status FROM pages")
+def rewrite_link_issues(spark, sf_dir):
+    return rewrite.run(scanned(spark, sf_dir), rewrite.REFORMAT)["link_issues"].select("book_id", "doc_path", "href", "status")
+
+
+@register(
+    "removed_font_references",
+    f"""SELECT DISTINCT {_BOOK} AS book_id, '@font-face{{font-family:Lost;src:url(no.ttf)}} p{{}} b{{font-family:serif}}' AS sheet, 0 AS listed, 0 AS kept FROM pages""",
+)
+def removed_font_references(spark, sf_dir):
+    """Books without their font: its rule, its name in families, its manifest item and the file are gone."""
+    before = scanned(spark, sf_dir)
+    out = fonts.remove_references(before, before.where("ext = 'ttf'").select("book_id", "path"))
+    body = F.col("content").cast("string")
+    return out.groupBy("book_id").agg(
+        F.max(F.when(F.col("ext") == "css", body)).alias("sheet"),
+        F.max(F.when(F.col("ext") == "opf", body.contains("f.ttf").cast("int"))).alias("listed"),
+        F.max((F.col("ext") == "ttf").cast("int")).alias("kept"),
+    )
+
+
+@register("recovered_text", f"SELECT {_BOOK} AS book_id, {_PATH} AS path, md5(replace({_VISIBLE}, md5(html), translate(md5(html), '0a', '〇α'))) AS digest FROM pages")
+def recovered_text(spark, sf_dir):
+    """Texts written in the embedded font translated by its table, all others as they were."""
+    books = scanned(spark, sf_dir)
+    moves = books.where("ext = 'ttf'").select("book_id", F.create_map("path", F.create_map(F.lit("0"), F.lit("〇"), F.lit("a"), F.lit("α"))).alias("tables"))
+    return fonts.apply_tables(books, moves).where("ext = 'xhtml'").select("book_id", "path", F.md5("content").alias("digest"))
+
+
+@register("font_usage", f"SELECT {_BOOK} AS book_id, 'OPS/f.ttf' AS font, string_agg(DISTINCT ch, '' ORDER BY ch) AS chars FROM (SELECT page_id, unnest(string_split(md5(html), '')) AS ch FROM pages) GROUP BY ALL")
+def font_usage(spark, sf_dir):
+    used = fonts.usage(scanned(spark, sf_dir))
+    return used.select("book_id", "font", F.array_join(F.array_sort(F.filter(F.split("chars", ""), lambda c: c != "")), "").alias("chars"))
+
+
+@register("font_targets", f"SELECT DISTINCT {_BOOK} AS book_id, 'OPS/f.ttf' AS font FROM pages WHERE page_id // 20 % 2 = 0")
+def font_targets(spark, sf_dir):
+    """Fonts by the families that are wanted of each book; names are compared without case and quotes."""
+    books = scanned(spark, sf_dir)
+    even = F.substring("book_id", 2, 9).cast("long") % 2 == 0
+    wanted = books.select("book_id").distinct().select("book_id", F.when(even, "'PLAIN'").otherwise("Lost").alias("family"))
+    return fonts.target_fonts(books, wanted)
+
+
+_PNG = raster.write_png(3, 2, bytes(range(18)))
+
+
+@register("covers_placed", f"SELECT DISTINCT {_BOOK} AS book_id, 'OPS/Images/cover.png' AS path, md5(from_hex('{_PNG.hex()}')) AS digest, 1 AS marked, 1 AS named FROM pages")
+def covers_placed(spark, sf_dir):
+    """A cover put into books that had none: the file, its mark in the manifest and its meta."""
+    books = scanned(spark, sf_dir)
+    covers = books.select("book_id").distinct().withColumn("cover", F.lit(_PNG))
+    out = workspace.replace_covers(books, epub.packages(books), covers)
+    opf = out.where("ext = 'opf'").select("book_id", F.col("content").cast("string").alias("opf"))
+    marked = F.size(F.split("opf", 'properties="cover-image"')) - 1
+    named = F.size(F.split("opf", '<meta name="cover" content="cover-image"/>')) - 1
+    return out.where("ext = 'png'").join(opf, "book_id").select("book_id", "path", F.md5("content").alias("digest"), marked.alias("marked"), named.alias("named"))
+
+
+_ENCRYPTION = (
+    '<encryption xmlns="urn:oasis:names:tc:opendocument:xmlns:container" xmlns:e="http://www.w3.org/2001/04/xmlenc#"><e:EncryptedData><e:EncryptionMethod Algorithm="http://www.w3.org/2001/04/xmlenc#aes128-ctr"/>'
+    '<k:KeyInfo xmlns:k="http://www.w3.org/2000/09/xmldsig#"><k:KeyName> some key </k:KeyName></k:KeyInfo><e:CipherData><e:CipherReference URI="OEBPS/Text/a.xhtml"/></e:CipherData></e:EncryptedData></encryption>'
+)
+
+
+def _listed(spark, sf_dir):
+    plain = members(spark, sf_dir)
+    even = plain.select("book_id").distinct().where(F.substring("book_id", 2, 9).cast("long") % 2 == 0)
+    more = even.select("book_id", F.lit(9).alias("ord"), F.lit("META-INF/encryption.xml").alias("path"), F.lit(_ENCRYPTION).cast("binary").alias("content"))
+    packed = Shelf(spark, "listed").put(archive.pack(plain.unionByName(more)).select("book_id", "content"))
+    return epub.members(packed)
+
+
+@register("encryption_listed", f"SELECT DISTINCT {_BOOK} AS book_id, 'OEBPS/Text/a.xhtml' AS uris, 'some key' AS key_names, 'http://www.w3.org/2001/04/xmlenc#aes128-ctr' AS algorithms, true AS text_or_css FROM pages WHERE page_id // 20 % 2 = 0")
+def encryption_listed(spark, sf_dir):
+    """What encryption.xml lists of every second book; nothing is decrypted."""
+    found = epub.encryption(_listed(spark, sf_dir))
+    return found.select("book_id", *(F.array_join(c, ",").alias(c) for c in ("uris", "key_names", "algorithms")), "text_or_css")
+
+
+@register("encryption_keeps_books", f"SELECT DISTINCT {_BOOK} AS book_id FROM pages WHERE page_id // 20 % 2 = 1")
+def encryption_keeps_books(spark, sf_dir):
+    """Books that a restoring job skips: plain names, and no encryption.xml that lists anything."""
+    return rewrite.run(_listed(spark, sf_dir), rewrite.DECRYPT)["skipped"].select("book_id")
+
+
+@register("broken_archives", f"SELECT {_BOOK} AS book_id, page_id // 20 % 2 = 1 AS broken, CASE WHEN page_id // 20 % 2 = 1 THEN 0 ELSE count(*) + 5 END AS n FROM pages GROUP BY page_id // 20")
+def broken_archives(spark, sf_dir):
+    """Archives cut short are a row with an error each; the others are read."""
+    packed = Shelf(spark, "broken").put(archive.pack(members(spark, sf_dir)).select("book_id", "content"))
+    odd = F.substring("book_id", 2, 9).cast("long") % 2 == 1
+    found = epub.members(packed.withColumn("content", F.when(odd, F.expr("substring(content, 1, 200)")).otherwise(F.col("content"))))
+    return found.groupBy("book_id").agg(F.max(F.col("error").isNotNull()).alias("broken"), F.count("path").alias("n"))
+
+
 @register("archive_round_trip_whole", f"SELECT {_BOOK} AS book_id, {_PATH} AS path, md5({_WHOLE}) AS digest, CAST(strlen({_WHOLE}) AS BIGINT) AS size FROM pages")
 def archive_round_trip_whole(spark, sf_dir):
     """Whole pages packed and scanned again."""

@@ -24,14 +24,20 @@ MEMBERS = "book_id string, ord int, path string, compress_type int, size long, c
 
 
 def books(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(book_id, path, length, content) of every archive under ``paths``, each once.
+    """(book_id, path, length, content) of every archive under ``paths``, each once; its id is its path, so
+    files of one name stay books of their own.
 
     Directories are searched at any depth, extensions in any case; other files are no books.
     """
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[eE][pP][uU][bB]").load(list(paths))
     )
-    return found.dropDuplicates(["path"]).select(F.element_at(F.split("path", "/"), -1).alias("book_id"), "path", "length", "content")
+    return found.dropDuplicates(["path"]).select(F.col("path").alias("book_id"), "path", "length", "content")
+
+
+def file_name(book_id):
+    """The file name of a book, whose id is its path."""
+    return F.element_at(F.split(book_id, "/"), -1)
 
 
 def check(archive: zipfile.ZipFile) -> str | None:
@@ -135,3 +141,11 @@ def metadata(packages: DataFrame) -> DataFrame:
         "book_id", "opf_path", F.get_json_object("parsed", "$.version").alias("version"), F.get_json_object("parsed", "$.parse_mode").alias("parse_mode"),
         F.get_json_object("parsed", "$.toc").alias("toc_id"), *(F.get_json_object("parsed", f"$.metadata.{n}").alias(n) for n in names),
     )
+
+
+def encryption(members: DataFrame) -> DataFrame:
+    """(book_id, uris, key_names, algorithms, text_or_css) of books with an encryption.xml that can be read."""
+    kind = "struct<uris:array<string>,key_names:array<string>,algorithms:array<string>,text_or_css:boolean>"
+    read = F.udf(lambda b: package.encryption(package.decode(bytes(b))) if b is not None else None, kind)
+    found = members.where("lower(path) = 'meta-inf/encryption.xml'").select("book_id", read("content").alias("x"))
+    return found.where("x IS NOT NULL").select("book_id", "x.*")

@@ -41,7 +41,8 @@ def folder(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def members(spark, folder):
-    return epub.members(epub.books(spark, [str(folder)])).cache()
+    books = epub.books(spark, [str(folder)])
+    return epub.members(books.withColumn("book_id", epub.file_name(F.col("book_id")))).cache()
 
 
 def test_scan_and_quarantine(spark, folder, members):
@@ -104,7 +105,8 @@ def test_decrypt_skips_plain_books(spark, members):
 def test_jobs_end_to_end(spark, folder, tmp_path):
     files = [str(folder / "one.epub"), str(folder / "junk.epub"), str(folder / "none.epub"), str(folder / "x_reformat_epub.epub")]
     done = runner.run(spark, runner.Request("reformat_epub", files, str(tmp_path)))
-    status = {f["book_id"]: f["status"] for f in done["files"]}
+    status = {os.path.basename(f["book_id"]): f["status"] for f in done["files"]}
+    assert sorted(f["book_id"] for f in done["files"]) == sorted(files)
     assert status == {"one.epub": "success", "junk.epub": "failed", "none.epub": "failed", "x_reformat_epub.epub": "skipped"}
     assert done["result"]["status"] == "partial" and done["result"]["summary"] == {"total": 4, "success": 1, "failed": 2, "skipped": 1}
     assert [os.path.basename(p) for p in done["result"]["outputs"]] == ["one_reformat_epub.epub"] == os.listdir(tmp_path)
@@ -117,6 +119,33 @@ def test_jobs_end_to_end(spark, folder, tmp_path):
     assert json.loads(runner.json_line({"a": "é\ud800"}))["a"] == "é\ufffd"
 
 
+def test_files_of_one_name_stay_books_of_their_own(spark, tmp_path):
+    files = []
+    for d, word in (("a", "ONE"), ("b", "TWO")):
+        (tmp_path / d).mkdir()
+        files.append(str(tmp_path / d / "x.epub"))
+        item = ("c", "c.xhtml", "application/xhtml+xml", "")
+        (tmp_path / d / "x.epub").write_bytes(B.epub([("OPS/package.opf", B.opf([item], ["c"])), ("OPS/c.xhtml", B.xhtml(f"<p>{word}</p>"))]))
+    done = runner.run(spark, runner.Request("reformat_epub", files, str(tmp_path / "out")))
+    assert done["result"]["summary"] == {"total": 2, "success": 2, "failed": 0, "skipped": 0}
+    again = epub.members(epub.books(spark, [str(tmp_path / "out")])).where("ext = 'xhtml'").collect()
+    assert sorted((epub_name(r.book_id), "ONE" in bytes(r.content).decode()) for r in again) == [("x_reformat_epub.epub", True), ("x_2_reformat_epub.epub", False)][::-1]
+
+
+def epub_name(path):
+    return path.rpartition("/")[2]
+
+
+def test_encryption_and_policies(spark):
+    from quiresmith.functions import package, text
+
+    assert package.encryption("<no") is None
+    assert package.encryption("<encryption/>") == {"uris": [], "key_names": [], "algorithms": [], "text_or_css": False}
+    assert package.encryption('<e><CipherReference URI="x/OEBPS/Styles/a.css"/><CipherReference/></e>')["text_or_css"]
+    assert [text.policy_of(x) for x in (None, "", " EXTERNAL ", "compatible", "nonsense")] == ["strict", "strict", "compatible", "compatible", "strict"]
+    assert [len(text.pool(p)) for p in ("ascii", "fullwidth", "wide")] == [62, 62, 11172]
+
+
 def test_images_and_covers(spark):
     page = B.xhtml('<img src="../Images/a.webp?r=1#i" srcset="../Images/a.webp 1x, data:image/png;base64,AA,BB 2x"/>')
     items = [("p", "Text/p.xhtml", "application/xhtml+xml", ""), ("w", "Images/a.webp", "image/webp", ""), ("x", "Images/x.png", "image/png", "")]
@@ -161,15 +190,21 @@ def test_font_jobs(spark, tmp_path):
     assert [(r.font, r.chars) for r in fonts.usage(df).collect()] == [("OPS/Fonts/f.ttf", "汉字A。&z")]
     done = fonts.obfuscate(df, seed=3)
     moves = {r.src: r.dst for r in done["char_map"].collect()}
-    assert set(moves) == {"汉", "字", "A"} and sorted(moves.values()) == sorted(moves) and moves["汉"] == "字"
+    assert set(moves) == {"汉", "字", "A"} and all(s != d for s, d in moves.items()) and len(set(moves.values())) == 3
+    assert moves["A"].isascii() and moves["A"].isalnum() and all(0xAC00 <= ord(moves[c]) <= 0xD7AF for c in "汉字")
     out = {r.path: bytes(r.content) for r in done["members"].collect()}
     old, new = sfnt.read_cmap(B.font("汉字A。0")), sfnt.read_cmap(out["OPS/Fonts/f.ttf"])
     assert all(new[ord(d)] == old[ord(s)] for s, d in moves.items()) and new[ord("0")] == old[ord("0")]
     text = out["OPS/Text/p.xhtml"].decode()
-    assert '<p>字汉A。<b class="n">汉</b>&amp;z</p><div>字</div>' in text
-    back = fonts.recover(done["members"], lambda f, data, c: ({v: k for k, v in moves.items()}[c], 0.99 if c != "A" else 0.1))
+    assert f'<p>{moves["汉"]}{moves["字"]}{moves["A"]}。<b class="n">汉</b>&amp;z</p><div>字</div>' in text
+    low = moves["A"]
+    back = fonts.recover(done["members"], lambda f, data, c: ({v: k for k, v in moves.items()}[c], 0.99 if c != low else 0.1))
     got = {r.src: (r.dst, r.status) for r in back.collect()}
-    assert got["字"] == ("汉", "ok") and got["A"] == ("[U+0041 OCR_LOW_CONF]", "OCR_LOW_CONF")
+    assert got[moves["汉"]] == ("汉", "ok") and got[low] == (f"[U+{ord(low):04X} OCR_LOW_CONF]", "OCR_LOW_CONF")
+    none = fonts.obfuscate(df, seed=3, targets=spark.createDataFrame([("b.epub", "Other")], "book_id string, family string"))
+    assert none["char_map"].count() == 0
+    named = fonts.obfuscate(df, seed=3, targets=spark.createDataFrame([("b.epub", "'obf'")], "book_id string, family string"))
+    assert {r.src: r.dst for r in named["char_map"].collect()} == moves
     clean = fonts.remove_references(df, spark.createDataFrame([("b.epub", "OPS/Fonts/f.ttf")], "book_id string, path string"))
     out = {r.path: bytes(r.content).decode() for r in clean.collect()}
     assert "OPS/Fonts/f.ttf" not in out and out["OPS/Styles/m.css"] == "p{font-family:serif} .n{font-family:serif}" and "f.ttf" not in out["OPS/package.opf"]
