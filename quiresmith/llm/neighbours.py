@@ -19,6 +19,9 @@ NEIGHBOURS, MOST_NEIGHBOURS, REVERSE = 10, 40, 6
 #: Trees of random hyperplanes that the first graph is made from, and vectors aimed at in a cell. Two at
 #: least: the cells of one tree are closed, and rounds of neighbours-of-neighbours could never leave them.
 TREES, CELL = 2, 48
+#: Gain of an edge, on average, below which rounds have stopped improving (an edge is worth 1 and its
+#: similarity).
+IMPROVED = 0.01
 #: Rounds at most before lists are enlarged or audited (they end when they stop improving), and forests
 #: before the exact search.
 ROUNDS, ATTEMPTS = 8, 3
@@ -186,6 +189,11 @@ def _descend(vectors: DataFrame, graph: DataFrame, k: int, lists: DataFrame | No
     return rows.mapInArrow(run, _EDGES)
 
 
+def _worth(graph: DataFrame) -> float:
+    """Edges and their similarities, summed: what rounds improve."""
+    return graph.agg(F.sum(F.col("sim") + 1)).first()[0] or 0.0
+
+
 def neighbour_graph(
     vectors: DataFrame, n: int, threshold: float, k: int, shelf: Shelf, seed: int = 0, rounds: int | None = None, before: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -200,15 +208,14 @@ def neighbour_graph(
     edges = _forest(vectors, n, seed, k, shelf)
     graph = shelf.put(_top(edges if before is None else edges.unionByName(before), k))
     lists, centers, active, size = None, None, n, k
+    worth = _worth(graph) if rounds else 0.0
     while True:
         for _ in range(rounds):
-            better = shelf.put(_descend(vectors, graph, size if lists is None else k, lists, centers))
-            moved = better.count()
-            after = shelf.put(_top(graph.unionByName(better), k, lists))
-            shelf.drop(better)
+            after = shelf.put(_top(graph.unionByName(_descend(vectors, graph, k, lists, centers)), k, lists))
             shelf.drop(graph)
-            graph = after
-            if moved < 0.02 * size * active:
+            graph, before = after, worth
+            worth = _worth(graph)
+            if worth - before < IMPROVED * size * active:
                 break
         full = shelf.put(_worst(graph, k, lists).where(F.col("full") & (F.col("worst") >= threshold)).select("id"))
         active = full.count()
