@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from quiresmith.llm.common import Shelf, hash01
 from quiresmith.llm.graph import components
 
-#: Neighbours that each vector keeps, neighbours up to which a saturated list is enlarged, and reverse
-#: neighbours that a round looks at.
-NEIGHBOURS, MOST_NEIGHBOURS, REVERSE = 10, 40, 6
-#: Trees of random hyperplanes that the first graph is made from, and vectors aimed at in a cell. Two at
-#: least: the cells of one tree are closed, and rounds of neighbours-of-neighbours could never leave them.
-TREES, CELL = 2, 48
+#: Neighbours that each vector keeps, neighbours up to which a saturated list is enlarged, by what factor
+#: at a time, and reverse neighbours that a round looks at.
+NEIGHBOURS, MOST_NEIGHBOURS, ENLARGE, REVERSE = 10, 40, 4, 6
+#: Share of the pairs at the threshold that the cells of the first graph should hold together, trees of random
+#: hyperplanes that it is made from at least, and vectors aimed at in a cell. Two trees at least: the cells of
+#: one are closed, and rounds of neighbours-of-neighbours could never leave them.
+FIRST, TREES, CELL = 0.75, 2, 48
 #: Gain of an edge, on average, below which rounds have stopped improving (an edge is worth 1 and its
 #: similarity).
 IMPROVED = 0.01
@@ -87,13 +88,24 @@ def _best(ids: np.ndarray, x: np.ndarray, k: int):
     return ids[rows], ids[cols], s[rows, cols]
 
 
-def _forest(vectors: DataFrame, n: int, seed: int, k: int, shelf: Shelf) -> DataFrame:
-    """(u, v, sim): the best neighbours within cells of random hyperplanes, over TREES trees.
+def _trees(planes: int, threshold: float) -> int:
+    """Trees of so many planes whose cells hold a share FIRST of the pairs at the threshold.
+
+    A random plane parts two vectors with the probability of their angle over pi, so the share that one
+    tree holds falls as the planes grow with the input; more trees make up for it.
+    """
+    held = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** planes
+    return max(TREES, math.ceil(math.log(1 - FIRST) / math.log(1 - held))) if held < 1 else TREES
+
+
+def _forest(vectors: DataFrame, n: int, threshold: float, seed: int, k: int, shelf: Shelf) -> DataFrame:
+    """(u, v, sim): the best neighbours within cells of random hyperplanes, over all trees.
 
     Cells that got too many vectors (near copies) are dealt out by hash, so no cell grows with the
     input; rounds of neighbours-of-neighbours join what that separates.
     """
     planes = max(0, math.ceil(math.log2(max(1, n / CELL))))
+    trees = _trees(planes, threshold)
 
     def cells(batches):
         for b in batches:
@@ -104,10 +116,10 @@ def _forest(vectors: DataFrame, n: int, seed: int, k: int, shelf: Shelf) -> Data
                 rows = np.flatnonzero(size == d)
                 part = lists.take(pa.array(rows))
                 x = _matrix(part)
-                normals = np.random.default_rng([seed, int(d)]).standard_normal((TREES, planes, int(d)))
-                for t in range(TREES):
+                normals = np.random.default_rng([seed, int(d)]).standard_normal((trees, planes, int(d)))
+                for t in range(trees):
                     bits = (x @ normals[t].T > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(rows), np.int64)
-                    cell = (int(d) * TREES + t << 32) + bits
+                    cell = (int(d) * trees + t << 32) + bits
                     out.append(pa.RecordBatch.from_arrays([pa.array(cell), ids.take(pa.array(rows)), part], names=["cell", "id", "vector"]))
             yield from out
 
@@ -159,7 +171,7 @@ def _descend(vectors: DataFrame, graph: DataFrame, k: int, lists: DataFrame | No
     """
     slot = F.pmod(F.xxhash64("u"), F.lit(REVERSE))
     back = graph.groupBy(F.col("v").alias("g"), slot.alias("slot")).agg(F.max(F.struct("sim", "u")).alias("x")).select("g", F.col("x.u").alias("id"))
-    around = graph.select(F.col("u").alias("g"), F.col("v").alias("id")).unionByName(back).distinct()
+    around = graph.select(F.col("u").alias("g"), F.col("v").alias("id")).unionByName(back)
     if centers is not None:
         around = around.join(centers.select(F.col("id").alias("g")), "g", "left_semi")
     carried = vectors.select("id", "vector").join(_worst(graph, k, lists).select("id", "worst"), "id", "left")
@@ -171,11 +183,12 @@ def _descend(vectors: DataFrame, graph: DataFrame, k: int, lists: DataFrame | No
         for g in _groups(batches, 1):
             if g.num_rows < 2:
                 continue
-            ids = g.column("id").to_numpy()
-            x = _unit(_matrix(g.column("vector").combine_chunks()))
+            # a neighbour that is a reverse neighbour too stands here twice
+            ids, once = np.unique(g.column("id").to_numpy(), return_index=True)
+            x = _unit(_matrix(g.column("vector").combine_chunks())[once])
             sim = x @ x.T
             np.fill_diagonal(sim, -3.0)
-            i, j = np.nonzero(sim > g.column("worst").to_numpy()[:, None] + _SLACK)
+            i, j = np.nonzero(sim > g.column("worst").to_numpy()[once, None] + _SLACK)
             u.append(ids[i])
             v.append(ids[j])
             s.append(sim[i, j])
@@ -201,11 +214,11 @@ def neighbour_graph(
 
     The first graph comes from cells of random hyperplanes, joined with ``before``. Rounds of
     neighbours-of-neighbours improve it until they hardly do. A list that holds nothing but links is
-    saturated: it is enlarged to twice its size and rounds around such vectors follow, until none is
-    saturated or lists hold MOST_NEIGHBOURS.
+    saturated: it is enlarged to ENLARGE times its size and rounds around such vectors follow, until
+    none is saturated or lists hold MOST_NEIGHBOURS.
     """
     rounds = ROUNDS if rounds is None else rounds
-    edges = _forest(vectors, n, seed, k, shelf)
+    edges = _forest(vectors, n, threshold, seed, k, shelf)
     graph = shelf.put(_top(edges if before is None else edges.unionByName(before), k))
     lists, centers, active, size = None, None, n, k
     worth = _worth(graph) if rounds else 0.0
@@ -221,7 +234,7 @@ def neighbour_graph(
         active = full.count()
         if size >= MOST_NEIGHBOURS or not active or not rounds:
             return graph, full
-        size = min(2 * size, MOST_NEIGHBOURS)
+        size = min(ENLARGE * size, MOST_NEIGHBOURS)
         grown = full.withColumn("size", F.lit(size))
         lists = shelf.put(grown if lists is None else grown.unionByName(lists.join(full, "id", "left_anti")))
         centers = full
